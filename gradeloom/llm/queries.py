@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import bpe, topn, vptree
+from gradeloom.llm import bktree, bpe, cooccurrence, topn, vptree
 from gradeloom.storage import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,41 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode_documents(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+PAIRS_SQL = """WITH d AS (SELECT DISTINCT project_name AS p, filename AS f, lower(trim(tag, ' ')) AS t FROM tags
+    WHERE project_name IS NOT NULL AND filename IS NOT NULL AND trim(tag, ' ') <> ''),
+  c AS (SELECT t, count(*) AS n FROM d GROUP BY t), r AS (SELECT count(*) AS n FROM (SELECT DISTINCT p, f FROM d)),
+  j AS (SELECT a.t AS ta, b.t AS tb, count(*) AS n FROM d a JOIN d b ON a.p = b.p AND a.f = b.f AND a.t < b.t GROUP BY 1, 2 HAVING count(*) >= 5),
+  x AS (SELECT j.ta, j.tb, j.n, ca.n AS na, cb.n AS nb, r.n AS nr FROM j JOIN c ca ON j.ta = ca.t JOIN c cb ON j.tb = cb.t, r)
+  """
+
+
+@query("p2_found", PAIRS_SQL + "SELECT ta AS tag_a, tb AS tag_b FROM x WHERE n * nr >= 3 * na * nb")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tags in at least five files together and three times as often as by chance."""
+    pairs = cooccurrence.surprising_pairs(cooccurrence.tag_records(read_table(spark, sf_dir, "tags")), least=5)
+    return pairs.where(F.col("n_ab") * F.col("records") >= 3 * F.col("n_a") * F.col("n_b")).select("tag_a", "tag_b")
+
+
+@query(
+    "p2_pairs",
+    PAIRS_SQL + "SELECT ta AS tag_a, tb AS tag_b, n AS n_ab, na AS n_a, nb AS n_b, nr AS records, n * nr::DOUBLE / (na::DOUBLE * nb) AS lift FROM x",
+)
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts and lift of every pair in at least five files."""
+    pairs = cooccurrence.surprising_pairs(cooccurrence.tag_records(read_table(spark, sf_dir, "tags")), least=5)
+    return pairs.select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "records", "lift")
+
+
+@query("p2_surprise")
+def p2_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with their expectation under the fitted null, tail probability and false-discovery rate."""
+    return cooccurrence.surprising_pairs(cooccurrence.tag_records(read_table(spark, sf_dir, "tags")), least=5)
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every freely typed value with the vocabulary entry that was meant, or -1."""
+    tables = [read_table(spark, sf_dir, t) for t in ("tags", "dataset_entries", "style_vocabulary")]
+    return bktree.canonical_values(*tables)
