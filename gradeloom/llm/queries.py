@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import bktree, bpe, cooccurrence, topn, vptree
+from gradeloom.llm import bktree, bpe, cooccurrence, packing, segments, topn, vptree
 from gradeloom.storage import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every freely typed value with the vocabulary entry that was meant, or -1."""
     tables = [read_table(spark, sf_dir, t) for t in ("tags", "dataset_entries", "style_vocabulary")]
     return bktree.canonical_values(*tables)
+
+
+@query("p8_containers")
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every non-empty document, measured in tokens, in a container of 2,048."""
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of more than 1,024 tokens: those that the splitter cuts."""
+    pieces = segments.split_documents(read_table(spark, sf_dir, "documents"))
+    return pieces.where("piece = 0").select("doc_id")
+
+
+@query("p9_pieces")
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document of more than 1,024 tokens."""
+    return segments.split_documents(read_table(spark, sf_dir, "documents"))
