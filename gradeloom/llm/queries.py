@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import bktree, bpe, cooccurrence, packing, segments, topn, vptree
+from gradeloom.llm import bktree, bpe, cooccurrence, looks, packing, segments, topn, vptree
 from gradeloom.storage import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document of more than 1,024 tokens."""
     return segments.split_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of fingerprints of one review sheet that belong to the same look."""
+    members, _ = looks.looks_of(read_table(spark, sf_dir, "fingerprints"))
+    return looks.sheet_pairs(members, read_table(spark, sf_dir, "review_sheets"))
+
+
+@query("p3_looks")
+def p3_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every look with its size and its five most typical fingerprints."""
+    members, _ = looks.looks_of(read_table(spark, sf_dir, "fingerprints"))
+    return looks.describe_looks(members)
