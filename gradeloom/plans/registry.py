@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "r3_similar_grades"
-MODULES = ("sessions", "lookup")
+MODULES = ("sessions", "lookup", "analytics")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
