@@ -1,13 +1,15 @@
-"""Color spaces as column expressions on triples of columns."""
+"""Color spaces as column expressions on triples of columns, and as steps that become projections."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Rgb = tuple[Column, Column, Column]
+Step = Callable[[Rgb], Rgb]
 Matrix = tuple[tuple[float, float, float], tuple[float, float, float], tuple[float, float, float]]
 
 # Published matrices and curves.
@@ -66,51 +68,62 @@ def oklab_to_linear(x: Rgb) -> Rgb:
     return times(LMS_TO_LINEAR, tuple(c * c * c for c in times(OKLAB_TO_LMS, x)))
 
 
-def srgb_to_oklab(x: Rgb) -> Rgb:
-    return linear_to_oklab(tuple(map(srgb_to_linear, x)))
+def each(f: Callable[[Column], Column]) -> Step:
+    return lambda x: tuple(map(f, x))
 
 
-def oklab_to_srgb(x: Rgb) -> Rgb:
-    return tuple(map(linear_to_srgb, oklab_to_linear(x)))
+def by(m: Matrix) -> Step:
+    return lambda x: times(m, x)
 
 
-def acescct_to_oklab(x: Rgb) -> Rgb:
-    return linear_to_oklab(times(AP1_TO_SRGB, tuple(map(acescct_to_linear, x))))
+FROM_LINEAR: list[Step] = [by(LINEAR_TO_LMS), each(F.cbrt), by(LMS_TO_OKLAB)]
+TO_LINEAR: list[Step] = [by(OKLAB_TO_LMS), each(lambda c: c * c * c), by(LMS_TO_LINEAR)]
+#: The steps of each way; `through` gives every step a projection of its own.
+STEPS: dict[tuple[str, str], list[Step]] = {
+    ("linear", "oklab"): FROM_LINEAR,
+    ("oklab", "linear"): TO_LINEAR,
+    ("srgb", "oklab"): [each(srgb_to_linear), *FROM_LINEAR],
+    ("oklab", "srgb"): [*TO_LINEAR, each(linear_to_srgb)],
+    ("acescct", "oklab"): [each(acescct_to_linear), by(AP1_TO_SRGB), *FROM_LINEAR],
+    ("oklab", "acescct"): [*TO_LINEAR, by(SRGB_TO_AP1), each(linear_to_acescct)],
+    ("display-p3", "oklab"): [each(srgb_to_linear), by(P3_TO_XYZ), by(XYZ_TO_SRGB), *FROM_LINEAR],
+    ("oklab", "display-p3"): [*TO_LINEAR, by(SRGB_TO_XYZ), by(XYZ_TO_P3), each(linear_to_srgb)],
+}
 
 
-def oklab_to_acescct(x: Rgb, compat: bool = False) -> Rgb:
-    return tuple(linear_to_acescct(c, compat) for c in times(SRGB_TO_AP1, oklab_to_linear(x)))
+def through(df: DataFrame, columns: tuple[str, str, str], *steps: Step) -> DataFrame:
+    """Takes three columns through steps, one projection each.
 
+    A matrix names each input three times, so a chain in one expression would grow
+    threefold a step; separate projections compute every value once.
+    """
+    rest = [F.col(c) for c in df.columns if c not in columns]
+    for f in steps:
+        out = f(tuple(F.col(c) for c in columns))
+        df = df.select(*rest, *[c.alias(n) for c, n in zip(out, columns)])
+    return df
 
-def p3_to_oklab(x: Rgb) -> Rgb:
-    return linear_to_oklab(times(XYZ_TO_SRGB, times(P3_TO_XYZ, tuple(map(srgb_to_linear, x)))))
 
-
-def oklab_to_p3(x: Rgb) -> Rgb:
-    return tuple(map(linear_to_srgb, times(XYZ_TO_P3, times(SRGB_TO_XYZ, oklab_to_linear(x)))))
-
-
-def tagged_to_oklab(tag: str, x: Rgb) -> Rgb:
-    """By color tag: linear, log (ACEScct) or video (sRGB)."""
+def convert(df: DataFrame, source: str, target: str, columns: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
+    """Three columns from one space to another, by way of Oklab where both are encodings; the names stay."""
+    if source == target:
+        return df
+    if (source, target) in STEPS:
+        return through(df, columns, *STEPS[source, target])
     try:
-        return {"linear": linear_to_oklab, "log": acescct_to_oklab, "video": srgb_to_oklab}[tag](x)
+        return through(df, columns, *STEPS[source, "oklab"], *STEPS["oklab", target])
     except KeyError:
-        raise ValueError(f"unknown color tag: {tag!r}") from None
+        raise ValueError(f"no way from {source!r} to {target!r}") from None
 
 
 def with_oklab(df: DataFrame, rgb: tuple[str, str, str] = ("r", "g", "b"), tag: str = "video") -> DataFrame:
     """Adds ok_l, ok_a, ok_b. Intermediate values are columns, so each is computed once a row."""
-    rest = df.columns
-    decode = {"video": srgb_to_linear, "log": acescct_to_linear, "linear": lambda c: c}
-    if tag not in decode:
+    spaces = {"video": "srgb", "log": "acescct", "linear": "linear"}
+    if tag not in spaces:
         raise ValueError(f"unknown color tag: {tag!r}")
-    x = df.select(*rest, *[decode[tag](F.col(c)).alias(f"__{i}") for i, c in enumerate(rgb)])
-    lin: Rgb = (F.col("__0"), F.col("__1"), F.col("__2"))
-    if tag == "log":
-        lin = times(AP1_TO_SRGB, lin)
-    x = x.select(*rest, *[F.cbrt(c).alias(f"__{i}") for i, c in enumerate(times(LINEAR_TO_LMS, lin))])
-    lab = times(LMS_TO_OKLAB, (F.col("__0"), F.col("__1"), F.col("__2")))
-    return x.select(*rest, *[c.alias(n) for n, c in zip(("ok_l", "ok_a", "ok_b"), lab)])
+    lab = ("ok_l", "ok_a", "ok_b")
+    x = df.withColumns({n: F.col(c) for n, c in zip(lab, rgb)})
+    return through(x, lab, *STEPS[spaces[tag], "oklab"])
 
 
 def tone_curve(x: Column) -> Column:
@@ -131,37 +144,27 @@ def _gamma(x: Column) -> Column:
     return F.pow(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), 1 / 2.2)
 
 
-def acescg_to_aces2065(x: Rgb, compat: bool = False) -> Rgb:
-    """AP1 to AP0. Older exports had the names of the two matrices swapped: `compat` keeps their numbers."""
-    return times(AP0_TO_AP1_COMPAT if compat else AP1_TO_AP0, x)
-
-
-def aces2065_to_acescg(x: Rgb, compat: bool = False) -> Rgb:
-    return times(AP1_TO_AP0 if compat else AP0_TO_AP1, x)
-
-
-def acescg_to_rec709(x: Rgb, compat: bool = False) -> Rgb:
-    return tuple(map(_gamma, acescg_to_aces2065(tuple(map(tone_curve, x)), compat)))
+def aces_steps(source: str, target: str, compat: bool = False) -> list[Step]:
+    """Steps between legal ACES spaces; other pairs give NaN, and a log source is refused.
 
-
-def rec709_to_acescg(x: Rgb, compat: bool = False) -> Rgb:
-    white = (TONE[0] + TONE[1]) / (TONE[2] + TONE[3] + TONE[4])
-    linear = tuple(F.when(c <= 0, 0.0).otherwise(F.pow(c, 2.2)) for c in x)
-    return tuple(F.when(c >= white, 1.0).otherwise(inverse_tone_curve(c)) for c in aces2065_to_acescg(linear, compat))
-
-
-def transform(source: str, target: str, x: Rgb, compat: bool = False) -> Rgb:
-    """Between legal spaces; other pairs give NaN, and a log source is refused."""
-    if source == "acescct" or source == "log":
+    Older exports had the two matrices between AP0 and AP1 swapped: `compat` keeps their numbers.
+    """
+    if source in ("acescct", "log"):
         raise ValueError("a log source has no direct transform")
-    if source == target:
-        return x
-    known = {
-        ("acescg", "rec709"): acescg_to_rec709, ("rec709", "acescg"): rec709_to_acescg,
-        ("aces2065-1", "acescg"): aces2065_to_acescg, ("acescg", "aces2065-1"): acescg_to_aces2065,
+    out, back = (AP0_TO_AP1_COMPAT, AP1_TO_AP0) if compat else (AP1_TO_AP0, AP0_TO_AP1)
+    white = (TONE[0] + TONE[1]) / (TONE[2] + TONE[3] + TONE[4])
+    known: dict[tuple[str, str], list[Step]] = {
+        ("acescg", "rec709"): [each(tone_curve), by(out), each(_gamma)],
+        ("rec709", "acescg"): [
+            each(lambda c: F.when(c <= 0, 0.0).otherwise(F.pow(c, 2.2))), by(back),
+            each(lambda c: F.when(c >= white, 1.0).otherwise(inverse_tone_curve(c))),
+        ],
+        ("aces2065-1", "acescg"): [by(back)],
+        ("acescg", "aces2065-1"): [by(out)],
     }
-    f = known.get((source, target))
-    return f(x, compat) if f else (F.lit(float("nan")),) * 3
+    if source == target:
+        return []
+    return known.get((source, target)) or [each(lambda c: F.lit(float("nan")))]
 
 
 def luma(x: Rgb) -> Column:
