@@ -193,6 +193,14 @@ def shard_neighbours(
     return query_ids[a[top]], ids[b[top]], cosine[top]
 
 
+def hash_sample(df: DataFrame, rows: int, want: int, seed: int) -> DataFrame:
+    """About `want` of `rows` rows, chosen by the hash of their id where they are read, so no task sends more than its share."""
+    if rows <= want:
+        return df
+    cells = 1 << 30
+    return df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(cells)) < int(cells * want / rows) + 1)
+
+
 def fit_top_tree(vectors: DataFrame, rows: int, seed: int = 7, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> Node:
     """The top tree over `rows` rows of (id, vec binary float32), from a bounded sample taken by hash order."""
     leaves = 1
@@ -201,7 +209,7 @@ def fit_top_tree(vectors: DataFrame, rows: int, seed: int = 7, sample_rows: int
     want = min(rows, max(sample_rows, 16 * leaves))
     if want * 256 > TOP_TREE_MB * 1e6:
         want = int(TOP_TREE_MB * 1e6 / 256)
-    got = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(want).select("vec").toPandas()
+    got = hash_sample(vectors.select("id", "vec"), rows, want, seed).toPandas()
     if not len(got):
         return Node(leaf=0, rows=np.zeros(0, int))
     m = np.frombuffer(b"".join(got["vec"]), np.float32).reshape(len(got), -1)
