@@ -182,34 +182,34 @@ def project_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.histograms.join(c.info.select("id", "project_name"), "id").select("id", "project_name", *NAMES)
 
 
-@query("project_summaries", with_(INFO, HISTS, PROJECT_HISTS, CENTRES) + "SELECT project_name, round(avg(r), 6) AS hist_r_centroid, round(avg(g), 6) AS hist_g_centroid, round(avg(b), 6) AS hist_b_centroid, (SELECT count(*) FROM ph p WHERE p.project_name = cc.project_name) AS fingerprints FROM cc GROUP BY 1")
+@query("project_summaries", with_(INFO, HISTS, PROJECT_HISTS, CENTRES) + "SELECT project_name, round(avg(r), 12) AS hist_r_centroid, round(avg(g), 12) AS hist_g_centroid, round(avg(b), 12) AS hist_b_centroid, (SELECT count(*) FROM ph p WHERE p.project_name = cc.project_name) AS fingerprints FROM cc GROUP BY 1")
 def project_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ft.project_summaries(project_histograms(spark, sf_dir), "project_name", NAMES))
+    return rounded(ft.project_summaries(project_histograms(spark, sf_dir), "project_name", NAMES), places=12)
 
 
-@query("project_distances", with_(INFO, HISTS, PROJECT_HISTS, CENTRES) + "SELECT x.project_name AS a, y.project_name AS b, round(sum(abs(x.r - y.r) + abs(x.g - y.g) + abs(x.b - y.b)) / 3, 6) AS distance FROM cc x JOIN cc y ON x.bin = y.bin AND x.project_name < y.project_name GROUP BY 1, 2")
+@query("project_distances", with_(INFO, HISTS, PROJECT_HISTS, CENTRES) + "SELECT x.project_name AS a, y.project_name AS b, round(sum(abs(x.r - y.r) + abs(x.g - y.g) + abs(x.b - y.b)) / 3, 12) AS distance FROM cc x JOIN cc y ON x.bin = y.bin AND x.project_name < y.project_name GROUP BY 1, 2")
 def project_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ft.project_distances(project_histograms(spark, sf_dir), "project_name", NAMES))
+    return rounded(ft.project_distances(project_histograms(spark, sf_dir), "project_name", NAMES), places=12)
 
 
 DIST = "dd AS (SELECT p.id, p.project_name, sum(abs(hist_r[bin] - r) + abs(hist_g[bin] - g) + abs(hist_b[bin] - b)) / 3 AS distance FROM ph p JOIN cc USING (project_name) GROUP BY 1, 2)"
 
 
-@query("project_outliers", with_(INFO, HISTS, PROJECT_HISTS, CENTRES, DIST) + "SELECT id, project_name, round(distance, 6) AS distance FROM (SELECT *, avg(distance) OVER (PARTITION BY project_name) AS m, count(*) OVER (PARTITION BY project_name) AS n FROM dd) WHERE n > 1 AND distance > 1.2::DOUBLE * m")
+@query("project_outliers", with_(INFO, HISTS, PROJECT_HISTS, CENTRES, DIST) + "SELECT id, project_name, round(distance, 12) AS distance FROM (SELECT *, avg(distance) OVER (PARTITION BY project_name) AS m, count(*) OVER (PARTITION BY project_name) AS n FROM dd) WHERE n > 1 AND distance > 1.2::DOUBLE * m")
 def project_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lower factor than the default, so that these data have outliers."""
-    return rounded(ft.outliers(project_histograms(spark, sf_dir), "project_name", NAMES, 1.2))
+    return rounded(ft.outliers(project_histograms(spark, sf_dir), "project_name", NAMES, 1.2), places=12)
 
 
-@query("overall_consistency", with_(INFO, HISTS, PROJECT_HISTS, CENTRES) + "SELECT round(coalesce(avg(d), 0), 6) AS overall FROM (SELECT sum(abs(x.r - y.r) + abs(x.g - y.g) + abs(x.b - y.b)) / 3 AS d FROM cc x JOIN cc y ON x.bin = y.bin AND x.project_name < y.project_name GROUP BY x.project_name, y.project_name)")
+@query("overall_consistency", with_(INFO, HISTS, PROJECT_HISTS, CENTRES) + "SELECT round(coalesce(avg(d), 0), 12) AS overall FROM (SELECT sum(abs(x.r - y.r) + abs(x.g - y.g) + abs(x.b - y.b)) / 3 AS d FROM cc x JOIN cc y ON x.bin = y.bin AND x.project_name < y.project_name GROUP BY x.project_name, y.project_name)")
 def overall_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ft.project_distances(project_histograms(spark, sf_dir), "project_name", NAMES)
-    return d.agg(F.round(F.coalesce(F.avg("distance"), F.lit(0.0)), 6).alias("overall"))
+    return d.agg(F.round(F.coalesce(F.avg("distance"), F.lit(0.0)), 12).alias("overall"))
 
 
-@query("average_features", with_(INFO, HISTS, PROJECT_HISTS, CENTRES) + "SELECT project_name, list(round(r, 6) ORDER BY bin) AS hist_r FROM cc GROUP BY 1")
+@query("average_features", with_(INFO, HISTS, PROJECT_HISTS, CENTRES) + "SELECT project_name, list(round(r, 12) ORDER BY bin) AS hist_r FROM cc GROUP BY 1")
 def average_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ft.average_features(project_histograms(spark, sf_dir), "project_name", NAMES).select("project_name", "hist_r"))
+    return rounded(ft.average_features(project_histograms(spark, sf_dir), "project_name", NAMES).select("project_name", "hist_r"), places=12)
 
 
 DELTA = "list_transform(list_zip(x.{0}, y.{0}), lambda z: abs(z[1] - z[2]))"
