@@ -31,6 +31,8 @@ from gradeloom.storage import materialize, spread
 SAMPLE_ROWS = 4096
 #: Rows a shard should hold; a shard of more is cut by a hash of the row, and queries visit all its cuts.
 SHARD_ROWS = 8192
+#: Queries that one copy of a shard should answer.
+QUERIES_A_SLOT = 32_768
 LEAF_ROWS = 64
 #: The top tree goes to every executor; a table of nodes over this size is refused.
 TOP_TREE_MB = 64
@@ -201,8 +203,8 @@ def hash_sample(df: DataFrame, rows: int, want: int, seed: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(cells)) < int(cells * want / rows) + 1)
 
 
-def fit_top_tree(vectors: DataFrame, rows: int, seed: int = 7, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> Node:
-    """The top tree over `rows` rows of (id, vec binary float32), from a bounded sample taken by hash order."""
+def fit_top_tree(vectors: DataFrame, rows: int, seed: int = 7, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> tuple[Node, np.ndarray]:
+    """The top tree over `rows` rows of (id, vec binary float32), from a bounded sample taken by hash, and the sample."""
     leaves = 1
     while leaves * shard_rows < rows:
         leaves *= 2
@@ -211,7 +213,7 @@ def fit_top_tree(vectors: DataFrame, rows: int, seed: int = 7, sample_rows: int
         want = int(TOP_TREE_MB * 1e6 / 256)
     got = hash_sample(vectors.select("id", "vec"), rows, want, seed).toPandas()
     if not len(got):
-        return Node(leaf=0, rows=np.zeros(0, int))
+        return Node(leaf=0, rows=np.zeros(0, int)), np.zeros((0, 0), np.float32)
     m = np.frombuffer(b"".join(got["vec"]), np.float32).reshape(len(got), -1)
     tree = build_tree(m, leaf_rows=2, seed=seed, max_leaves=leaves)
 
@@ -222,7 +224,7 @@ def fit_top_tree(vectors: DataFrame, rows: int, seed: int = 7, sample_rows: int
             bare(node.outer)
 
     bare(tree)
-    return tree
+    return tree, m
 
 
 def pack_vectors(df: DataFrame, id_col: str, vec_col: str, model_col: str, size: int = 64) -> DataFrame:
@@ -241,6 +243,11 @@ def pack_vectors(df: DataFrame, id_col: str, vec_col: str, model_col: str, size:
     return rows.mapInPandas(run, "id long, model string, vec binary")
 
 
+def _mixed(ids: pd.Series) -> np.ndarray:
+    """Evenly spread non-negative numbers from ids."""
+    return ((ids.to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
 
@@ -278,16 +285,22 @@ def similar_vectors(
     crowded = active.groupBy("model", "h").agg(F.count("*").alias("n")).where(F.col("n") > k).select("model", "h")
     has_crowds = bool(crowded.head(1))
 
-    tree = fit_top_tree(active, rows, shard_rows=shard_rows)
+    tree, some = fit_top_tree(active, rows, shard_rows=shard_rows)
     asked = active if queries is None else active.join(queries.select("id").distinct(), "id", "left_semi")
     limit = min_cosine
 
-    schema = "model string, shard int, cut int, role int, id long, vec binary"
+    schema = "model string, shard int, cut int, slot int, role int, id long, vec binary"
     loads = {}
     placed = materialize(_place(active, tree), "placed")
     for r in placed.groupBy("model", "shard").count().collect():  # one row per shard: rows / shard_rows of them
         loads[(r["model"], r["shard"])] = -(-r["count"] // (2 * shard_rows))
     cuts = {key: n for key, n in loads.items() if n > 1}
+    # shards that many queries visit get several slots, each with all of the shard's rows and a share of the queries
+    slots = {}
+    if min_cosine is not None and len(some):
+        for node, at in visited_leaves(tree, some, np.full(len(some), np.sqrt(max(2 - 2 * min_cosine, 0)), np.float32), factor):
+            slots[node.leaf] = -(-len(at) * rows // (len(some) * QUERIES_A_SLOT))
+    both = queries is None and min_cosine is not None  # rows of undivided shards are query and data at once
 
     def route(radius_col: bool):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,21 +311,29 @@ def similar_vectors(
                 radius = x["radius"].to_numpy(np.float32) if radius_col else np.full(len(x), np.sqrt(max(2 - 2 * limit, 0)), np.float32)
                 for node, at in visited_leaves(tree, m, radius, factor):
                     part = x.iloc[at]
-                    part = part[part["shard"] != node.leaf] if radius_col else part
+                    if radius_col:
+                        part = part[part["shard"] != node.leaf]
+                    elif both and slots.get(node.leaf, 1) == 1:
+                        part = part[[s != node.leaf or (g, s) in cuts for g, s in zip(part["model"], part["shard"])]]
                     for cut in range(max(cuts.values(), default=1)):
                         has = part if cut == 0 else part[[cuts.get((g, node.leaf), 1) > cut for g in part["model"]]]
                         if len(has):
-                            yield pd.DataFrame({"model": has["model"], "shard": node.leaf, "cut": cut, "role": 1, "id": has["id"], "vec": has["vec"]})
+                            slot = _mixed(has["id"]) % slots.get(node.leaf, 1)
+                            yield pd.DataFrame({"model": has["model"], "shard": node.leaf, "cut": cut, "slot": slot, "role": 1, "id": has["id"], "vec": has["vec"]})
 
         return run
 
     def stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            n = np.array([cuts.get(key, 1) for key in zip(x["model"], x["shard"])], np.int64) if cuts else 1
-            yield pd.DataFrame({"model": x["model"], "shard": x["shard"], "cut": (x["id"] * 2654435761 % 4294967291) % n, "role": 0, "id": x["id"], "vec": x["vec"]})
+            n = np.array([cuts.get(key, 1) for key in zip(x["model"], x["shard"])], np.int64)
+            wide = np.array([slots.get(s, 1) for s in x["shard"]], np.int64)
+            role = np.where((n == 1) & (wide == 1), 2, 0) if both else 0
+            frame = pd.DataFrame({"model": x["model"], "shard": x["shard"], "cut": _mixed(x["id"]) % n, "slot": 0, "role": role, "id": x["id"], "vec": x["vec"]})
+            for slot in range(int(wide.max(initial=1))):
+                yield frame[wide > slot].assign(slot=slot)
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        data, ask = frame[frame["role"] == 0], frame[frame["role"] == 1]
+        data, ask = frame[frame["role"] != 1], frame[frame["role"] != 0]
         if not len(data) or not len(ask):
             return pd.DataFrame({"id": [], "neighbour": [], "cosine": []})
         m, q = _matrix(data["vec"]).astype(np.float64), _matrix(ask["vec"]).astype(np.float64)
@@ -324,12 +345,12 @@ def similar_vectors(
     found_schema = "id long, neighbour long, cosine double"
 
     def searched(ask: DataFrame) -> DataFrame:
-        return data.unionByName(ask).groupBy("model", "shard", "cut").applyInPandas(search, found_schema)
+        return data.unionByName(ask).groupBy("model", "shard", "cut", "slot").applyInPandas(search, found_schema)
 
     if min_cosine is not None:
         found = searched(asked_places.mapInPandas(route(False), schema))
     else:
-        home = asked_places.select("model", "shard", F.explode(F.sequence(F.lit(0), F.lit(max(cuts.values(), default=1) - 1))).alias("cut"), F.lit(1).alias("role"), "id", "vec")
+        home = asked_places.select("model", "shard", F.explode(F.sequence(F.lit(0), F.lit(max(cuts.values(), default=1) - 1))).alias("cut"), F.lit(0).alias("slot"), F.lit(1).alias("role"), "id", "vec")
         first = materialize(searched(home), "home")
         worst = first.groupBy("id").agg(F.count("*").alias("n"), F.array_min(F.slice(F.sort_array(F.collect_list("cosine"), False), 1, k)).alias("c"))
         radius = F.when(F.col("n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("c"), F.lit(0.0)))).otherwise(F.lit(2.0)).alias("radius")
