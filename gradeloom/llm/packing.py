@@ -81,14 +81,15 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 600) -> np.ndarray:
 class Plan:
     """Container groups: (content as {length: how many}, repeats), for a histogram of lengths."""
 
-    def __init__(self, histogram: dict[int, int], capacity: int):
+    def __init__(self, histogram: dict[int, int], capacity: int, fitted: bool = True):
         self.capacity = capacity
         self.left = {k: int(n) for k, n in histogram.items() if n > 0}
         if any(k < 1 or k > capacity for k in self.left):
             raise ValueError("lengths must be within 1 and the capacity")
         self.sorted = sorted(self.left)
         self.groups: list[tuple[dict[int, int], int]] = []
-        self._fitted()
+        if fitted:
+            self._fitted()
         while self.sorted:
             longest = self.sorted[-1]
             each = min(capacity // longest, self.left[longest])
@@ -172,6 +173,10 @@ class Plan:
             _, i = heapq.heappop(heap)
             self._fill(*fitted[i])
 
+    @property
+    def containers(self) -> int:
+        return sum(repeats for _, repeats in self.groups)
+
     def slots(self) -> pd.DataFrame:
         """(length, first, each, repeats, container, offset): which ordinals of a length go where."""
         rows, used, base = [], {}, 0
@@ -183,10 +188,15 @@ class Plan:
                 used[length] = first + each * repeats
                 offset += length * each
             base += repeats
-        self.containers = base
         return pd.DataFrame(rows, columns=["length", "first", "each", "container", "offset"]).sort_values(["length", "first"], ignore_index=True)
 
 
+def best_plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """The fitted plan, or the one without patterns where a few odd lengths leave it with fewer containers."""
+    fitted, plain = Plan(histogram, capacity), Plan(histogram, capacity, fitted=False)
+    return fitted if fitted.containers <= plain.containers else plain
+
+
 def fill_containers(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
     """(id, part, n_tokens, container, offset) of every item.
 
@@ -220,7 +230,7 @@ def fill_containers(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "d
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_task.select("length", "task", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
     histogram = {r["length"]: r["c"] for r in per_task.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # at most `capacity` rows
-    plan = Plan(histogram, capacity)
+    plan = best_plan(histogram, capacity)
     slots = plan.slots()
     # groups of containers follow the lengths, not the items; the key orders (length, first)
     keys = slots["length"].to_numpy(np.float64) * 2.0**40 + slots["first"].to_numpy(np.float64)
