@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "r3_similar_grades"
-MODULES = ("sessions", "lookup", "analytics", "search", "pixels", "luts")
+MODULES = ("sessions", "lookup", "analytics", "search", "pixels", "luts", "media")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

@@ -276,6 +276,79 @@ def mov_keyframes(data: bytes, at_start: bool = False) -> list[tuple[int, float]
     return [(int(f), float(t) / scale if scale else 0.0) for f, t in zip(frames, ticks)]
 
 
+# Encoders: small files of known content, for round trips and for interchange.
+
+
+def dpx_bytes(width: int, height: int, values: np.ndarray, depth: int = 10, big: bool = True, transfer: int = 1) -> bytes:
+    """A DPX file of values n x 3 in 0..1, row by row."""
+    order = ">" if big else "<"
+    head = bytearray(DPX_HEADER)
+    head[:4] = b"SDPX" if big else b"XPDS"
+    struct.pack_into(order + "I", head, 4, DPX_HEADER)
+    struct.pack_into(order + "HHII", head, 768, 0, 1, width, height)
+    struct.pack_into(order + "BBBBHHI", head, 800, 50, transfer, transfer, depth, 0, 0, DPX_HEADER)
+    codes = np.floor(np.clip(values, 0, 1) * ((1 << depth) - 1) + 0.5).astype(np.uint32)
+    if depth == 10:
+        body = (codes[:, 0] << 20 | codes[:, 1] << 10 | codes[:, 2]).astype(order + "u4").tobytes()
+    else:
+        body = codes.astype("u1" if depth == 8 else order + "u2").tobytes()
+    return bytes(head) + body
+
+
+def ppm_bytes(width: int, height: int, values: np.ndarray, top: int = 255) -> bytes:
+    codes = np.floor(np.clip(values, 0, 1) * top + 0.5).astype("u1" if top < 256 else ">u2")
+    return f"P6\n# image\n{width} {height}\n{top}\n".encode() + codes.tobytes()
+
+
+def exr_bytes(width: int, height: int, values: np.ndarray, kind: str = "float", compression: str = "none") -> bytes:
+    """A single-part scan-line EXR file of values n x 3."""
+
+    def attr(name: str, type_: str, body: bytes) -> bytes:
+        return name.encode() + b"\0" + type_.encode() + b"\0" + struct.pack("<I", len(body)) + body
+
+    code = {"half": 1, "float": 2}[kind]
+    item = {"half": "<f2", "float": "<f4"}[kind]
+    channels = b"".join(c.encode() + b"\0" + struct.pack("<iB3xii", code, 0, 1, 1) for c in "BGR") + b"\0"
+    box = struct.pack("<4i", 0, 0, width - 1, height - 1)
+    head = b"\x76\x2f\x31\x01" + struct.pack("<I", 2)
+    head += attr("channels", "chlist", channels) + attr("compression", "compression", bytes([EXR_COMPRESSION.index(compression)])) + attr("dataWindow", "box2i", box) + attr("displayWindow", "box2i", box)
+    head += attr("lineOrder", "lineOrder", b"\0") + attr("pixelAspectRatio", "float", struct.pack("<f", 1)) + attr("screenWindowCenter", "v2f", bytes(8)) + attr("screenWindowWidth", "float", struct.pack("<f", 1)) + b"\0"
+    lines = 16 if compression == "zip" else 1
+    v, blocks = values.reshape(height, width, 3), []
+    for y in range(0, height, lines):
+        raw = b"".join(v[row, :, "RGB".index(c)].astype(item).tobytes() for row in range(y, min(y + lines, height)) for c in "BGR")
+        if compression != "none":
+            b = np.frombuffer(raw, np.uint8)
+            split = np.concatenate([b[0::2], b[1::2]]).astype(np.int64)
+            delta = np.concatenate([split[:1], (split[1:] - split[:-1] + 128) & 255]).astype(np.uint8)
+            packed = zlib.compress(delta.tobytes())
+            raw = packed if len(packed) < len(raw) else raw
+        blocks.append(struct.pack("<ii", y, len(raw)) + raw)
+    at, offsets = len(head) + 8 * len(blocks), []
+    for b in blocks:
+        offsets.append(at)
+        at += len(b)
+    return head + struct.pack(f"<{len(offsets)}Q", *offsets) + b"".join(blocks)
+
+
+def mov_bytes(width: int, height: int, scale: int, table: list[tuple[int, int]], codec: bytes = b"avc1", sync: list[int] | None = None) -> bytes:
+    """A film file without frames: header boxes with a time table and, if given, sync frames."""
+
+    def box(kind: bytes, *parts: bytes) -> bytes:
+        body = b"".join(parts)
+        return struct.pack(">I4s", len(body) + 8, kind) + body
+
+    entry = bytes(8) + bytes(16) + struct.pack(">HH", width, height) + bytes(12) + struct.pack(">H", 1) + bytes(32) + struct.pack(">Hh", 24, -1)
+    stsd = box(b"stsd", struct.pack(">II", 0, 1), box(codec, entry))
+    stts = box(b"stts", struct.pack(">II", 0, len(table)), *(struct.pack(">II", *t) for t in table))
+    stss = box(b"stss", struct.pack(">II", 0, len(sync)), *(struct.pack(">I", s) for s in sync)) if sync is not None else b""
+    ticks = sum(c * d for c, d in table)
+    mdhd = box(b"mdhd", struct.pack(">IIIII", 0, 0, 0, scale, ticks), bytes(4))
+    hdlr = box(b"hdlr", bytes(8), b"vide", bytes(13))
+    trak = box(b"trak", box(b"mdia", mdhd, hdlr, box(b"minf", box(b"stbl", stsd, stts, stss))))
+    return box(b"ftyp", b"qt  ", bytes(4)) + box(b"moov", trak)
+
+
 HEADERS: dict[str, Callable[[bytes], dict]] = {"dpx": dpx_header, "exr": exr_header, "mov": mov_header}
 PIXELS: dict[str, Callable[[bytes], tuple[int, int, np.ndarray]]] = {"dpx": dpx_pixels, "exr": exr_pixels, "ppm": ppm_pixels}
 HEADER_SCHEMA = (
