@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.topn import top_n
-from gradeloom.storage import materialize, spread
+from gradeloom.storage import materialize, shuffle_partitions, spread
 
 #: Rows of the sample that the top tree is fitted on; every row is indexed.
 SAMPLE_ROWS = 4096
 #: Rows a shard should hold; a shard of more is cut by a hash of the row, and queries visit all its cuts.
-SHARD_ROWS = 8192
+SHARD_ROWS = 16_384
 #: Queries that one copy of a shard should answer.
-QUERIES_A_SLOT = 32_768
+QUERIES_A_SLOT = 65_536
 LEAF_ROWS = 64
 #: The top tree goes to every executor; a table of nodes over this size is refused.
 TOP_TREE_MB = 64
@@ -344,8 +344,13 @@ def similar_vectors(
     data = placed.mapInPandas(stored, schema)
     found_schema = "id long, neighbour long, cosine double"
 
+    # twice as many partitions as groups, so that few of them meet in one task, at any number of rows
+    groups = sum(cuts.get(key, 1) * slots.get(key[1], 1) for key in loads)
+    tasks = max(2 * groups, shuffle_partitions(df.sparkSession))
+
     def searched(ask: DataFrame) -> DataFrame:
-        return data.unionByName(ask).groupBy("model", "shard", "cut", "slot").applyInPandas(search, found_schema)
+        keys = ["model", "shard", "cut", "slot"]
+        return data.unionByName(ask).repartition(tasks, *keys).groupBy(*keys).applyInPandas(search, found_schema)
 
     if min_cosine is not None:
         found = searched(asked_places.mapInPandas(route(False), schema))
