@@ -111,19 +111,22 @@ def _oriented(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.groupBy("tag_a", "tag_b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least)
 
 
-def pair_counts(records: DataFrame, degrees: DataFrame, least: int) -> DataFrame:
+def pair_counts(records: DataFrame, often: DataFrame, least: int, largest: int) -> DataFrame:
     """(tag_a, tag_b, n_ab) of all pairs with at least `least` common records.
 
-    An item in fewer than `least` records can't be in such a pair and is left out first.
+    `often` has the items of at least `least` records; others can't be in such a pair and are left out first.
     Items of a record lie in hashed blocks of about BLOCK_ITEMS; only records larger than that have several.
+    Where the largest record (of `largest` items) fits a block, none is divided.
     """
-    often = degrees.where(F.col("n_a") >= least).select("item")
     rows = records.join(often, "item", "left_semi")
+    schema = "tag_a string, tag_b string, n long"
+    if largest <= BLOCK_ITEMS:
+        sets = rows.groupBy("r1", "r2").agg(F.collect_list("item").alias("items"))
+        return _oriented(sets.select("items").mapInPandas(_within, schema), least)
     large = rows.groupBy("r1", "r2").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK_ITEMS)
     blocks = F.ceil(F.coalesce(F.col("size"), F.lit(1)) / BLOCK_ITEMS)
     blocked = rows.join(large, ["r1", "r2"], "left").select("r1", "r2", "item", F.pmod(F.xxhash64("item"), blocks).alias("block"), F.col("size").isNotNull().alias("large"))
     sets = blocked.groupBy("r1", "r2", "block").agg(F.collect_list("item").alias("items"), F.first("large").alias("large"))
-    schema = "tag_a string, tag_b string, n long"
     inner = sets.select("items").mapInPandas(_within, schema)
     big = sets.where("large").select("r1", "r2", "block", "items")
     other = big.select("r1", "r2", F.col("block").alias("b2"), F.col("items").alias("others"))
@@ -243,11 +246,11 @@ def surprising_pairs(records: DataFrame, least: int = 5) -> DataFrame:
             yield f.assign(expected=mu, log10_p=lp)
 
     few = degrees.where(F.col("n_a") >= least)
-    if n_items <= BROADCAST_ITEMS:
-        few = F.broadcast(few)
-    pairs = pair_counts(records, degrees, least)
-    a = few.select(F.col("item").alias("tag_a"), "n_a")
-    b = few.select(F.col("item").alias("tag_b"), F.col("n_a").alias("n_b"))
+    few = materialize(few, "items")
+    hint = F.broadcast if n_items <= BROADCAST_ITEMS else (lambda x: x)
+    pairs = pair_counts(records, hint(few.select("item")), least, int(size.max()))
+    a = hint(few.select(F.col("item").alias("tag_a"), "n_a"))
+    b = hint(few.select(F.col("item").alias("tag_b"), F.col("n_a").alias("n_b")))
     scored = pairs.join(a, "tag_a").join(b, "tag_b").select("tag_a", "tag_b", "n_ab", "n_a", "n_b").mapInPandas(tails, schema)
     scored = materialize(scored, "pairs")
     tests = math.log10(max(n_items * (n_items - 1) / 2, 1))
