@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.functions.vector import histogram
-from gradeloom.storage import keep_latest, read_table
+from gradeloom.storage import keep_latest, read_table, spread
 
 L, S, D = T.LongType(), T.StringType(), T.DoubleType()
 
@@ -86,8 +86,11 @@ class Catalog:
     @property
     def histograms(self) -> DataFrame:
         """(id, file_id, hist_r, hist_g, hist_b) of fingerprints whose three texts are sound histograms."""
-        h = self.fingerprints.select("id", "file_id", *[histogram(F.col(f"histogram_{c}")).alias(f"hist_{c}") for c in "rgb"])
-        return h.where("hist_r IS NOT NULL AND hist_g IS NOT NULL AND hist_b IS NOT NULL")
+        names = [f"hist_{c}" for c in "rgb"]
+        f = spread(self.fingerprints.select("id", "file_id", *[f"histogram_{c}" for c in "rgb"]))
+        h = f.select("id", "file_id", *[histogram(F.col(f"histogram_{c}")).alias(f"hist_{c}") for c in "rgb"])
+        finite = [F.col(n).isNotNull() & (F.array_max(n) < float("inf")) & (F.array_min(n) > float("-inf")) for n in names]
+        return h.where(finite[0] & finite[1] & finite[2])
 
     @property
     def feedback(self) -> DataFrame:
