@@ -126,7 +126,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of fingerprints of one review sheet that belong to the same look."""
-    members, _ = looks.looks_of(read_table(spark, sf_dir, "fingerprints"))
+    members, _ = looks.looks_of(read_table(spark, sf_dir, "fingerprints"), degrees=False)
     return looks.sheet_pairs(members, read_table(spark, sf_dir, "review_sheets"))
 
 
