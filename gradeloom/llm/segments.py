@@ -7,14 +7,15 @@ of topic. Each piece ends at the deepest valley in the second half of its window
 the window has no such border, the last space or punctuation serves, and in a text without
 any, the last character that fits. The next piece begins so that it shares at least
 `overlap` tokens with the one before, and less than one atom (a word, or a few characters of
-an unbroken run) more.
+an unbroken run) more. Where a run is cut into atoms, several atoms can be one token of the
+text; limit, window and overlap are then measured on the text itself.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,10 +79,15 @@ def split_text(enc: PrefixEncoder, text: str | None, limit: int = LIMIT, overlap
     counts = enc.piece_counts(words)
     if sum(counts) <= limit:
         return []
+    torn = None
     if max(counts) > ATOM_TOKENS:
         atoms: list[str] = []
+        parts: list[int] = [0]  # cut parts before each atom
         for w, n in zip(words, counts):
-            atoms += [w] if n <= ATOM_TOKENS else [w[i : i + ATOM_CHARS] for i in range(0, len(w), ATOM_CHARS)]
+            cut = [w] if n <= ATOM_TOKENS else [w[i : i + ATOM_CHARS] for i in range(0, len(w), ATOM_CHARS)]
+            atoms += cut
+            parts += [parts[-1]] if len(cut) == 1 else range(parts[-1] + 1, parts[-1] + len(cut) + 1)
+        torn = np.array(parts)
     else:
         atoms = words
     coded = [enc._memo[a] for a in atoms]
@@ -99,11 +105,15 @@ def split_text(enc: PrefixEncoder, text: str | None, limit: int = LIMIT, overlap
     while True:
         begin = int(ends[start - 1]) if start else 0
         stop = int(np.searchsorted(total, total[start] + limit, "right")) - 1  # atoms start..stop-1 fit by their own counts
+        low = int(np.searchsorted(total, total[start] + limit // 2))
+        if torn is not None and torn[stop] > torn[start]:
+            stop = _reach(lambda i: enc.count(text[begin : int(ends[i - 1])]) <= limit, stop, len(atoms))
+            low = _reach(lambda i: enc.count(text[begin : int(ends[i - 1])]) < limit // 2, low, stop)
         while True:
             if stop >= len(atoms):
                 end = len(atoms)
             else:
-                end = _cut(text, ends, unit_end, depth, int(np.searchsorted(total, total[start] + limit // 2)), stop)
+                end = _cut(text, ends, unit_end, depth, low, stop)
             n = enc.count(text[begin : int(ends[end - 1])])
             if n <= limit or end <= start + 1:
                 break
@@ -111,7 +121,29 @@ def split_text(enc: PrefixEncoder, text: str | None, limit: int = LIMIT, overlap
         pieces.append((begin, int(ends[end - 1]), n))
         if end == len(atoms):
             return pieces
-        start = max(start + 1, int(np.searchsorted(total, total[end] - overlap, "right")) - 1)
+        back = max(start + 1, int(np.searchsorted(total, total[end] - overlap, "right")) - 1)
+        last = int(ends[end - 1])
+        short = _reach(lambda i: enc.count(text[int(ends[end - i - 1]) : last]) < overlap, end - back, end - start - 1)
+        # the fewest atoms that share enough
+        at = min(short + 1, end - start - 1) if enc.count(text[int(ends[end - short - 1]) : last]) < overlap else short
+        start = end - at
+
+
+def _reach(fits: Callable[[int], bool], at: int, top: int) -> int:
+    """The last number from `at` to `top` that still fits, by doubled steps and halving; `at` itself is given back where even that doesn't."""
+    if at >= top or not fits(at):
+        return min(at, top)
+    step = 1
+    while at + step <= top and fits(at + step):
+        at, step = at + step, 2 * step
+    high = min(at + step, top + 1)  # doesn't fit, or lies beyond
+    while high - at > 1:
+        mid = (at + high) // 2
+        if fits(mid):
+            at = mid
+        else:
+            high = mid
+    return at
 
 
 def _cut(text: str, ends: np.ndarray, unit_end: np.ndarray, depth: np.ndarray, low: int, stop: int) -> int:

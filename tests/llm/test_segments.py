@@ -83,3 +83,15 @@ def test_very_long_text():
     assert len(text) > 1_000_000
     pieces = segments.split_text(ENC, text, 1024, 64)
     check(text, pieces, 1024, 64)
+
+
+@pytest.mark.parametrize("text", ["=" * 100_000, "-" * 100_000, "international" * 3000, "thelookholdsinthedarkroom" * 1200, "A run. " * 300 + "=" * 20_000 + " and words" * 900, "y" * 9000])
+def test_unbroken_runs_share_and_fill(text):
+    """Overlap and limit are tokens of the text, also where a run is cut into atoms."""
+    pieces = segments.split_text(ENC, text, 1024, 64)
+    check(text, pieces, 1024, 64)
+    for (a, b, n), (c, _, _) in zip(pieces, pieces[1:]):
+        assert ENC.count(text[c:b]) >= 64
+        assert n >= 512
+    if " " not in text:
+        assert all(n >= 1000 for _, _, n in pieces[:-1])
