@@ -114,14 +114,17 @@ class BKTree:
             stack += [child for edge, child in below.items() if d - radius <= edge <= d + radius]
         return sorted(found)
 
-    def nearest(self, word: str, radius: int) -> tuple[int, int, int] | None:
-        """(distance, -length, key) of the closest entry within the radius: the longer entry, then the smaller key wins ties."""
+    def nearest(self, word: str, radius: int, share: float = 0.0) -> tuple[int, int, int] | None:
+        """(distance, -length, key) of the closest entry within the radius that has `share` of the longer spelling in common.
+
+        The longer entry, then the smaller key wins ties. A closer entry that shares too little doesn't narrow the search.
+        """
         best = None
         stack = [self.root] if self.root else []
         while stack:
             text, keys, below = stack.pop()
             d = edit_distance(word, text)
-            if d <= radius:
+            if d <= radius and 1 - d / max(len(word), len(text), 1) >= share:
                 here = (d, -len(text), min(keys))
                 if best is None or here < best:
                     best, radius = here, d
@@ -139,10 +142,8 @@ def _search(tree: BKTree, raw: str, share: float) -> tuple[int, int, int, int] |
         return None
     # sharing s of the longer spelling means d <= (1 - s) * max(lengths) and the entry is at most d longer
     radius = int(len(word) * (1 - share) / share) if share > 0 else 1 << 30
-    got = tree.nearest(word, max(radius, 1))
-    if got is None or 1 - got[0] / max(len(word), -got[1]) < share:
-        return None
-    return (*got, len(word))
+    got = tree.nearest(word, max(radius, 1), share)
+    return (*got, len(word)) if got else None
 
 
 def build(entries: list[tuple[int, str]]) -> BKTree:
@@ -157,7 +158,7 @@ def build(entries: list[tuple[int, str]]) -> BKTree:
 def match_values(
     values: DataFrame, reference: DataFrame, value_col: str = "value", key_col: str = "vocab_id", entry_col: str = "tag", share: float = SHARE, shards: int = 16
 ) -> DataFrame:
-    """(value, key, distance) of each distinct value: its closest entry, or key -1 if none shares `share` of its spelling.
+    """(value, key, distance) of each distinct value: the closest entry that shares enough, or key -1 if none shares `share` of its spelling.
 
     Null values and entries are skipped; a value without any letter or digit is unmatched.
     Values of any length are compared whole. Repeated values are searched once. Ties go to

@@ -83,3 +83,12 @@ def test_random_typos():
             i = rnd.randrange(len(entry))
             typed = entry[:i] + rnd.choice(["", "q", entry[i] * 2]) + entry[i + 1 :]
             assert bktree._search(tree, typed, bktree.SHARE)[2] == key
+
+
+def test_longer_entry_passes_where_the_nearest_fails(spark, monkeypatch):
+    """The share divides by the longer spelling, so a farther, longer entry may share enough; shards give the same."""
+    vocabulary = spark.createDataFrame([(1, "abcxyz"), (2, "abcdefghij")], "vocab_id long, tag string")
+    values = spark.createDataFrame([("abcdef",)], "value string")
+    assert [tuple(r) for r in bktree.match_values(values, vocabulary, share=0.55).collect()] == [("abcdef", 2, 4)]
+    monkeypatch.setattr(bktree, "BROADCAST_ENTRIES", 1)
+    assert [tuple(r) for r in bktree.match_values(values, vocabulary, share=0.55).collect()] == [("abcdef", 2, 4)]
