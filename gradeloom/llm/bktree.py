@@ -2,8 +2,8 @@
 
 Values and entries are reduced to their spelling first (compatibility forms, case,
 accents, look-alike letters, digits for letters, everything that is no letter or digit).
-The tree holds each entry once for every rotation of its words, so a changed word order
-costs nothing. Distance is Levenshtein's, a true metric; the triangle inequality skips
+The tree holds each entry once for every rotation of its words; a changed word order
+costs one edit. Distance is Levenshtein's, a true metric; the triangle inequality skips
 every subtree whose edge to its parent differs from the value's distance by more than
 the radius, and the radius shrinks to the best distance met.
 """
@@ -32,9 +32,10 @@ DIGIT_LETTER = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 #: Entries up to which the tree is broadcast; larger lists are sharded.
 BROADCAST_ENTRIES = 50_000
-#: Share of the spelling that a value and its entry must have in common. An alignment of
-#: unrelated words of equal length meets half of their letters by chance, so half itself is no match.
-SHARE = 0.53
+#: Share of the spelling that a value and its entry must have in common.
+SHARE = 0.5
+#: Edits that another word order costs. If it cost none, every rotation were one more free try at half of the letters.
+TURNED = 1
 
 
 def spelling(value: str, digits: bool = True) -> str:
@@ -87,19 +88,19 @@ class BKTree:
     def __init__(self) -> None:
         self.root: list | None = None
 
-    def add(self, word: str, key: int) -> None:
+    def add(self, word: str, key: int, cost: int = 0) -> None:
+        """`cost` is added to the distances of this key under this spelling."""
         if self.root is None:
-            self.root = [word, [key], {}]
+            self.root = [word, {key: cost}, {}]
             return
         node = self.root
         while True:
             d = edit_distance(word, node[0])
             if d == 0:
-                if key not in node[1]:
-                    node[1].append(key)
+                node[1][key] = min(cost, node[1].get(key, cost))
                 return
             if d not in node[2]:
-                node[2][d] = [word, [key], {}]
+                node[2][d] = [word, {key: cost}, {}]
                 return
             node = node[2][d]
 
@@ -109,8 +110,7 @@ class BKTree:
         while stack:
             text, keys, below = stack.pop()
             d = edit_distance(word, text)
-            if d <= radius:
-                found += [(d, k, text) for k in keys]
+            found += [(d + cost, k, text) for k, cost in keys.items() if d + cost <= radius]
             stack += [child for edge, child in below.items() if d - radius <= edge <= d + radius]
         return sorted(found)
 
@@ -124,10 +124,12 @@ class BKTree:
         while stack:
             text, keys, below = stack.pop()
             d = edit_distance(word, text)
-            if d <= radius and 1 - d / max(len(word), len(text), 1) >= share:
-                here = (d, -len(text), min(keys))
-                if best is None or here < best:
-                    best, radius = here, d
+            if d <= radius:
+                far, key = min((d + cost, k) for k, cost in keys.items())
+                here = (far, -len(text), key)
+                # sharing s means d <= (1 - s) * length, without rounding of a quotient
+                if far <= radius and far <= (1 - share) * max(len(word), len(text)) and (best is None or here < best):
+                    best, radius = here, far
             # the closest edges are taken up last, hence searched first
             for edge, child in sorted(below.items(), key=lambda x: -abs(x[0] - d)):
                 if d - radius <= edge <= d + radius:
@@ -149,9 +151,9 @@ def _search(tree: BKTree, raw: str, share: float) -> tuple[int, int, int, int] |
 def build(entries: list[tuple[int, str]]) -> BKTree:
     tree = BKTree()
     for key, text in sorted(entries):
-        for word in rotations(text):
+        for turn, word in enumerate(rotations(text)):
             if word:
-                tree.add(word, key)
+                tree.add(word, key, TURNED if turn else 0)
     return tree
 
 

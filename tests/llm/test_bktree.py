@@ -92,3 +92,10 @@ def test_longer_entry_passes_where_the_nearest_fails(spark, monkeypatch):
     assert [tuple(r) for r in bktree.match_values(values, vocabulary, share=0.55).collect()] == [("abcdef", 2, 4)]
     monkeypatch.setattr(bktree, "BROADCAST_ENTRIES", 1)
     assert [tuple(r) for r in bktree.match_values(values, vocabulary, share=0.55).collect()] == [("abcdef", 2, 4)]
+
+
+def test_half_of_the_spelling_is_enough():
+    """Exactly half is a match, in the words' own order; a turned order must share more to be one."""
+    tree = bktree.build([(1, "abcdwxyz"), (2, "slate_falloff"), (3, "glacial_veil"), (4, "plum_ceiling")])
+    keys = [g[2] if (g := bktree._search(tree, v, bktree.SHARE)) else -1 for v in ("abcd", "fathom crate", "v3 FINAL final", "ceiling/plum")]
+    assert keys == [1, -1, -1, 4]
