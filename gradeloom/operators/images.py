@@ -86,17 +86,32 @@ def connected(label: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def whole(p: pd.DataFrame, y: str, x: str, values: list[str]) -> tuple[np.ndarray, pd.DataFrame]:
+    """(height x width x values, its pixels): repeated places count once, the least values first; missing or NaN ones take the image's mean."""
+    p = p.dropna(subset=[y, x]).sort_values([y, x, *values]).drop_duplicates([y, x])
+    if not len(p):
+        return np.zeros((0, 0, len(values))), p
+    at, v = p[[y, x]].to_numpy(int), p[values].to_numpy(float)
+    known = ~np.isnan(v)
+    mean = np.where(known, v, 0).sum(0) / np.maximum(known.sum(0), 1)
+    grid = np.broadcast_to(mean, (at[:, 0].max() + 1, at[:, 1].max() + 1, len(values))).copy()
+    grid[at[:, 0], at[:, 1]] = np.where(known, v, mean)
+    return grid, p
+
+
 def segment_images(pixels: DataFrame, key: str = "image", segments: int = 64, compactness: float = 0.1) -> DataFrame:
-    """(key, x, y, r, g, b, label) of images in long form with ok_l, ok_a, ok_b."""
+    """(key, x, y, r, g, b, label) of images in long form with ok_l, ok_a, ok_b.
+
+    Every pixel with a place comes out once; missing ones are filled for the labelling only.
+    """
     kind = pixels.schema[key].dataType.simpleString()
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["y", "x"])
-        h, w = int(p["y"].max()) + 1, int(p["x"].max()) + 1
-        if len(p) != h * w:
-            return p.head(0)[[key, "x", "y", "r", "g", "b"]].assign(label=0)
-        lab = p[["ok_l", "ok_a", "ok_b"]].to_numpy(float).reshape(h, w, 3)
-        return p[[key, "x", "y", "r", "g", "b"]].assign(label=slic_labels(lab, segments, compactness).ravel())
+        lab, p = whole(p, "y", "x", ["ok_l", "ok_a", "ok_b"])
+        out = p[[key, "x", "y", "r", "g", "b"]]
+        if not len(out):
+            return out.assign(label=0)
+        return out.assign(label=slic_labels(lab, segments, compactness)[p["y"].to_numpy(int), p["x"].to_numpy(int)])
 
     return pixels.groupBy(key).applyInPandas(run, f"{key} {kind}, x long, y long, r double, g double, b double, label int")
 
@@ -159,15 +174,13 @@ def png(image: np.ndarray) -> bytes:
 
 
 def strip_pictures(strip: DataFrame, size: int = 256) -> DataFrame:
-    """(movie, strip_png, iris_png): each film's strip and its polar picture as PNG files."""
+    """(movie, strip_png, iris_png): each film's strip and its polar picture as PNG files; missing places have the film's mean color."""
     kind = strip.schema["movie"].dataType.simpleString()
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["row", "frame"])
-        h, w = p["row"].nunique(), p["frame"].nunique()
-        if len(p) != h * w:
+        v, p = whole(p, "row", "frame", ["r", "g", "b"])
+        if not len(p):
             return pd.DataFrame({"movie": [], "strip_png": [], "iris_png": []})
-        v = p[["r", "g", "b"]].to_numpy(float).reshape(h, w, 3)
         return pd.DataFrame({"movie": [p["movie"].iloc[0]], "strip_png": [png(v)], "iris_png": [png(iris(v, size))]})
 
     return strip.groupBy("movie").applyInPandas(run, f"movie {kind}, strip_png binary, iris_png binary")
