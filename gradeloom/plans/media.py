@@ -13,14 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.catalog import Catalog
+from gradeloom.functions.vector import normalised, total
+from gradeloom.operators import features as ft
 from gradeloom.operators import images as im
 from gradeloom.operators import lut as lut_ops
+from gradeloom.operators.search import tile_search
 from gradeloom.plans.luts import N, grid_sql
-from gradeloom.plans.pixels import FRAMES, IMAGE, PX, rounded, strip
+from gradeloom.plans.pixels import FRAMES, IMAGE, PX, image, rounded, strip
 from gradeloom.plans.registry import query
 from gradeloom.plans.sqltext import with_
 from gradeloom.sinks import importer
 from gradeloom.sources import lutfiles, media
+from gradeloom.storage import materialize
+
+QUERY_MOVIE = 1
 
 
 def encoded(spark: SparkSession, sf_dir: str, kind: str, encode: Callable[[int, int, np.ndarray], bytes]) -> DataFrame:
@@ -164,6 +170,32 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("movie").agg(F.count("label").alias("pixels"), (F.count_distinct("label") > 1).alias("parted"))
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box, size and features of every movie's superpixels; labelled once, as each histogram reads the labels again."""
+    from gradeloom.functions.color import with_oklab
+
+    p = with_oklab(strip(spark, sf_dir).select("movie", F.col("frame").alias("x"), F.col("row").alias("y"), "r", "g", "b"))
+    return im.segment_features(materialize(im.segment_images(p, "movie", 16), "segments"), "movie", 16)
+
+
+@query("superpixel_features")
+def superpixel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box, size and grading features of every superpixel of every movie's image (G41)."""
+    return rounded(_segments(spark, sf_dir))
+
+
+@query("segment_search")
+def segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movies by the best tile, anywhere, for each superpixel of movie QUERY_MOVIE (R15)."""
+    sums = {f"s_{n}": total(F.col(f"hist_{n}")) for n in "lab"}
+    shown = [normalised(F.col(f"hist_{n}"), F.col(f"s_{n}")).alias(f"n_{c}") for n, c in zip("lab", "rgb")]
+    asked = _segments(spark, sf_dir).where(F.col("movie") == QUERY_MOVIE).withColumns(sums)
+    asked = asked.select(F.col("movie").alias("id"), F.col("label").alias("tile_row"), F.lit(0).alias("tile_col"), *shown)
+    tiles = ft.tile_features(image(spark, sf_dir), ["movie"], "w", "h", 4, 16).where(F.col("movie") != QUERY_MOVIE).withColumns(sums)
+    tiles = tiles.select(F.col("movie").alias("id"), "tile_row", "tile_col", *shown)
+    return tile_search(asked.unionByName(tiles), QUERY_MOVIE, "any").withColumn("score", F.round("score", 6))
+
+
 @query("strip_pictures", with_(FRAMES, PX, IMAGE) + "SELECT movie, true AS strip_ok, true AS iris_ok FROM im GROUP BY 1")
 def strip_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = im.strip_pictures(strip(spark, sf_dir), 64)
