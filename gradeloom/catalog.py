@@ -63,7 +63,9 @@ class Catalog:
 
     @property
     def fingerprints(self) -> DataFrame:
-        return self.table("fingerprints")
+        """As stored; a luminance that is NaN is none, so it is null, as a database stores it."""
+        measured = {c: F.nanvl(c, F.lit(None).cast("double")) for c in ("luminance_mean", "luminance_stddev")}
+        return self.table("fingerprints").withColumns(measured)
 
     @property
     def tags(self) -> DataFrame:
@@ -85,12 +87,15 @@ class Catalog:
 
     @property
     def histograms(self) -> DataFrame:
-        """(id, file_id, hist_r, hist_g, hist_b) of fingerprints whose three texts are sound histograms."""
+        """(id, file_id, hist_r, hist_g, hist_b) of fingerprints whose three texts are sound histograms.
+
+        A generator makes the row, as a filter on the parsed columns would be pushed down and parse each text again.
+        """
         names = [f"hist_{c}" for c in "rgb"]
-        f = spread(self.fingerprints.select("id", "file_id", *[f"histogram_{c}" for c in "rgb"]))
-        h = f.select("id", "file_id", *[histogram(F.col(f"histogram_{c}")).alias(f"hist_{c}") for c in "rgb"])
-        finite = [F.col(n).isNotNull() & (F.array_max(n) < float("inf")) & (F.array_min(n) > float("-inf")) for n in names]
-        return h.where(finite[0] & finite[1] & finite[2])
+        f = spread(self.table("fingerprints").select("id", "file_id", *[f"histogram_{c}" for c in "rgb"]))
+        parsed = F.struct(*[histogram(F.col(f"histogram_{c}")).alias(n) for c, n in zip("rgb", names)])
+        sound = F.filter(F.array(parsed), lambda x: x[names[0]].isNotNull() & x[names[1]].isNotNull() & x[names[2]].isNotNull())
+        return f.select("id", "file_id", F.inline(sound).alias(*names))
 
     @property
     def feedback(self) -> DataFrame:

@@ -54,6 +54,11 @@ def resolve_fingerprint(c: Catalog, project: str, filename: str) -> DataFrame:
     return i.agg(F.min("id").alias("fingerprint_id")).where("fingerprint_id IS NOT NULL")
 
 
+def resolve_fingerprints(c: Catalog) -> DataFrame:
+    """(project_name, filename, fingerprint_id): the smallest fingerprint of every file at once."""
+    return c.info.groupBy("project_name", "filename").agg(F.min("id").alias("fingerprint_id"))
+
+
 def resolve_images(c: Catalog, paths: DataFrame, path_col: str = "path") -> DataFrame:
     """(path, file_id, matches): the file with the base name of a path; the smallest id if several, which `matches` tells."""
     asked = paths.select(F.col(path_col).alias("path"), F.element_at(F.split(path_col, "/"), -1).alias("filename")).distinct()

@@ -129,21 +129,73 @@ def color_family(tag: Column) -> Column:
     return F.when(t.isin("video", "srgb", "rec709"), "video").when(t.isin("acescct", "acescg", "log"), "log").when(t == "linear", "linear").otherwise("unknown")
 
 
-def hybrid_inputs(fingerprints: DataFrame, features: DataFrame, tags: DataFrame) -> DataFrame:
-    """(id, file_id, n_r, n_g, n_b, embedding, embedding_model, tags, color_space_tag, feature_status): what hybrid search reads, missing signals null."""
-    f = fingerprints.select("id", "file_id", "embedding", "embedding_model", "color_space_tag", "feature_status")
-    return f.join(features, "id", "left").join(tag_sets(tags), "id", "left")
+#: The phrases of a style description.
+STYLE = {
+    "high contrast": "高对比度", "low contrast": "低对比度", "warm shadows": "暗部偏暖", "cool shadows": "暗部偏冷",
+    "soft highlights": "高光柔和延展", "saturated": "饱和度偏高", "muted": "饱和度低", "neutral": "风格中性",
+}
+
+
+def style_description(hist_l: Column, l_std: Column, a_mean: Column, b_mean: Column) -> Column:
+    """Contrast, shadow temperature, highlights and saturation in words, joined by ' · '.
+
+    Values between two thresholds say nothing; if all four do, the one closest to a
+    threshold (relative to its range) speaks. Null features are neutral.
+    """
+    say = {k: F.lit(t) for k, t in STYLE.items()}
+    p95, chroma2 = v.percentile(hist_l, 0.95), a_mean * a_mean + b_mean * b_mean
+    clear = F.array(
+        F.when(l_std > 0.35, say["high contrast"]).when(l_std < 0.15, say["low contrast"]), F.when(a_mean < -0.03, say["cool shadows"]).when(a_mean > 0.03, say["warm shadows"]),
+        F.when(p95 > 0.85, say["soft highlights"]), F.when(chroma2 > 0.02, say["saturated"]).when(chroma2 < 0.005, say["muted"]),
+    )
+
+    def weak(distance: Column, place: int, text: Column) -> Column:
+        return F.struct(F.least(distance, F.lit(1.0)).alias("d"), F.lit(place).alias("p"), text.alias("t"))
+
+    closest = F.array_min(
+        F.array(
+            weak(F.abs(l_std - 0.25) / 0.1, 0, F.when(l_std >= 0.25, say["high contrast"]).otherwise(say["low contrast"])),
+            weak(F.abs(a_mean) / 0.03, 1, F.when(a_mean >= 0, say["warm shadows"]).otherwise(say["cool shadows"])),
+            weak((0.85 - p95) / 0.85, 2, say["soft highlights"]),
+            weak(F.abs(chroma2 - 0.0125) / 0.0075, 3, F.when(chroma2 >= 0.0125, say["saturated"]).otherwise(say["muted"])),
+        )
+    )["t"]
+    words = F.array_join(F.array_compact(clear), " · ")
+    known = hist_l.isNotNull() & l_std.isNotNull() & a_mean.isNotNull() & b_mean.isNotNull()
+    return F.when(~known, say["neutral"]).when(words != "", words).otherwise(F.coalesce(closest, say["neutral"]))
+
+
+def finite_embedding() -> Column:
+    """The embedding, or null where it is empty or has an element that isn't a finite number."""
+    e = F.col("embedding")
+    return F.when((F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), e)
+
+
+def hybrid_inputs(fingerprints: DataFrame, features: DataFrame, tags: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(id, file_id, n_r, n_g, n_b, embedding, embedding_model, tags, color_space_tag, feature_status): what hybrid search reads.
+
+    Grading features are required; a missing or unsound embedding and missing tags are
+    null. `among` (column id) restricts all three inputs before anything is parsed or
+    gathered, so it has to name the query's row as well.
+    """
+    f = fingerprints.select("id", "file_id", finite_embedding().alias("embedding"), "embedding_model", "color_space_tag", "feature_status")
+    if among is not None:
+        ids = among.select("id").distinct()
+        f, features = f.join(ids, "id", "left_semi"), features.join(ids, "id", "left_semi")
+        tags = tags.join(ids.withColumnRenamed("id", "fingerprint_id"), "fingerprint_id", "left_semi")
+    return f.join(features, "id").join(tag_sets(tags), "id", "left")
 
 
 def hybrid_search(inputs: DataFrame, query_id: int, weights: tuple[float, float, float] = PRESETS["grading-first"], k: int | None = 10, among: DataFrame | None = None) -> DataFrame:
     """Weighted grading, clip and tag similarity; a signal that either side lacks is left out and the other weights grow.
 
-    Candidates without any usable signal are left out. `gap` tells of different color
-    space families, `stale` of features older than the image. `among` restricts candidates before the ranking.
+    Candidates are fingerprints of other files; those without any weighted signal are left
+    out. `gap` tells of different color space families, `stale` of features that are older
+    than the image or of unknown age. `among` restricts candidates before the ranking.
     """
-    cols = ["n_r", "n_g", "n_b", "embedding", "embedding_model", "tags", "color_space_tag"]
+    cols = ["file_id", "n_r", "n_g", "n_b", "embedding", "embedding_model", "tags", "color_space_tag"]
     c = inputs if among is None else inputs.join(among.select("id").distinct(), "id", "left_semi")
-    x = with_query(c, inputs, query_id, cols)
+    x = with_query(c, inputs, query_id, cols).where("file_id <> q_file_id")
     has_grading = F.col("n_r").isNotNull() & F.col("q_n_r").isNotNull()
     has_clip = (F.col("embedding_model") == F.col("q_embedding_model")) & (F.size("embedding") == F.size("q_embedding")) & (F.size("embedding") > 0)
     has_tags = F.col("tags").isNotNull() & F.col("q_tags").isNotNull()
@@ -159,14 +211,41 @@ def hybrid_search(inputs: DataFrame, query_id: int, weights: tuple[float, float,
     score = F.least(F.greatest(parts[0] + parts[1] + parts[2], F.lit(0.0)), F.lit(1.0))
     x = x.withColumn("score", score).where("score IS NOT NULL")
     gap = color_family(F.col("color_space_tag")) != color_family(F.col("q_color_space_tag"))
-    x = x.withColumns({"gap": gap, "stale": F.coalesce(F.col("feature_status") == "stale", F.lit(False))})
+    x = x.withColumns({"gap": gap, "stale": F.coalesce(F.col("feature_status"), F.lit("stale")) == "stale"})
     return ranked(x.select("id", "grading", "clip", "tag", "score", "gap", "stale"), k, ["id"])
 
 
-def prefiltered_hybrid(inputs: DataFrame, query_id: int, weights: tuple[float, float, float], k: int, among: DataFrame | None = None) -> DataFrame:
-    """Hybrid search over the best max(5k, 200) by cosine; the filter comes before the prefilter, so no match in scope is lost to it."""
-    near = image_search(inputs, query_id, max(5 * k, 200), among)
-    return hybrid_search(inputs, query_id, weights, k, near)
+def near_and_query(near: DataFrame, query_id: int) -> DataFrame:
+    """The ids of a prefilter's hits and of the query itself."""
+    return near.select("id").unionByName(near.sparkSession.range(query_id, query_id + 1))
+
+
+def prefiltered_hybrid(fingerprints: DataFrame, features: DataFrame, tags: DataFrame, query_id: int, weights: tuple[float, float, float], k: int, among: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """Hybrid search over the best max(5k, 200) by cosine; the filter comes before the prefilter, so no match in scope is lost to it.
+
+    `near` (column id) are the hits of an index; without it all embeddings are ranked. Only
+    the hits' histograms and tags are read on. A query without embedding has no prefilter:
+    give it hybrid_search.
+    """
+    hits = max(5 * k, 200)
+    if near is None:
+        near = image_search(fingerprints.withColumn("embedding", finite_embedding()), query_id, hits, among)
+    ids = F.broadcast(near_and_query(near.select("id"), query_id))  # at most max(5k, 200) + 1 rows
+    return hybrid_search(hybrid_inputs(fingerprints, features, tags, ids), query_id, weights, k)
+
+
+def image_or_listing(embeddings: DataFrame, info: DataFrame, histograms: DataFrame, query_id: int, k: int = 10) -> DataFrame:
+    """image_search, or the listing (score 1) where the query has no embedding to search by."""
+    ok = embeddings.where((F.col("id") == query_id) & finite_embedding().isNotNull() & F.col("embedding_model").isNotNull()).select(F.lit(1).alias("__q")).limit(1)
+    first = image_search(embeddings.withColumn("embedding", finite_embedding()), query_id, k).select("id", "score", "rank")
+    return first.unionByName(listing(info, histograms, k).select("id", "score", "rank").join(F.broadcast(ok), how="left_anti"))
+
+
+def image_tag_or_tag_search(embeddings: DataFrame, tags: DataFrame, query_id: int, text: str, k: int = 10) -> DataFrame:
+    """image_tag_search, or tag_search where the query has no embedding to search by."""
+    ok = embeddings.where((F.col("id") == query_id) & finite_embedding().isNotNull() & F.col("embedding_model").isNotNull()).select(F.lit(1).alias("__q")).limit(1)
+    first = image_tag_search(embeddings.withColumn("embedding", finite_embedding()), tags, query_id, text, k).select("id", "score", "rank")
+    return first.unionByName(tag_search(tags, text, k).select("id", "score", "rank").join(F.broadcast(ok), how="left_anti"))
 
 
 def zero_shot_tags(images: DataFrame, labels: DataFrame, n: int = 5, scale: float = 100.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.catalog import Catalog
 from gradeloom.operators import lookup as ops
 from gradeloom.plans.registry import query
-from gradeloom.plans.sqltext import HISTS, INFO, LUTS, SESSIONS, TAGS, with_
+from gradeloom.plans.sqltext import HISTS, INFO, LUTS, SESSIONS, TAGS, measured_sql, with_
 
 PROJECT = "glass_estuary"
 MATERIALS, SPACES = ("dpx", "exr", "mov"), ("srgb", "acescct", "linear", "rec709", "log")
@@ -74,14 +74,37 @@ def resolve_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.resolve_images(c, paths)
 
 
-@query("resolve_file_id", f"SELECT min(f.id) AS file_id FROM files f JOIN projects p ON p.id = f.project_id WHERE p.name = '{PROJECT}' AND f.filename = 'A386_C004_000000001.dpx' HAVING min(f.id) IS NOT NULL")
+FIRST_NAME = f"SELECT min(f.filename) FROM files f JOIN projects p ON p.id = f.project_id WHERE p.name = '{PROJECT}'"
+
+
+def _first_name(c: Catalog) -> str:
+    """A file name that the project has, whatever the tables."""
+    p = c.projects.where(F.col("name") == PROJECT).select(F.col("id").alias("project_id"))
+    return c.files.join(p, "project_id", "left_semi").agg(F.min("filename")).first()[0]
+
+
+@query("resolve_file_id", f"SELECT min(f.id) AS file_id FROM files f JOIN projects p ON p.id = f.project_id WHERE p.name = '{PROJECT}' AND f.filename = ({FIRST_NAME}) HAVING min(f.id) IS NOT NULL")
 def resolve_file_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.resolve_file(Catalog(spark, sf_dir), PROJECT, "A386_C004_000000001.dpx")
+    c = Catalog(spark, sf_dir)
+    return ops.resolve_file(c, PROJECT, _first_name(c))
+
+
+@query("resolve_fingerprint_id", f"SELECT min(x.id) AS fingerprint_id FROM fingerprints x JOIN files f ON f.id = x.file_id JOIN projects p ON p.id = f.project_id WHERE p.name = '{PROJECT}' AND f.filename = (SELECT min(filename) FROM files g JOIN fingerprints y ON y.file_id = g.id JOIN projects p ON p.id = g.project_id WHERE p.name = '{PROJECT}')")
+def resolve_fingerprint_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Catalog(spark, sf_dir)
+    name = c.info.where(F.col("project_name") == PROJECT).agg(F.min("filename")).first()[0]
+    return ops.resolve_fingerprint(c, PROJECT, name)
+
+
+@query("fingerprints_by_path", with_(INFO) + "SELECT id, project_name, path || '/' || filename AS file_path FROM inf WHERE path || '/' || filename = (SELECT max(path || '/' || filename) FROM inf)")
+def fingerprints_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Catalog(spark, sf_dir)
+    return ops.fingerprints_by_path(c, ops.fingerprints_by_project(c).agg(F.max("file_path")).first()[0])
 
 
 @query("resolve_fingerprint_ids", with_(INFO) + "SELECT project_name, filename, min(id) AS fingerprint_id FROM inf GROUP BY 1, 2")
 def resolve_fingerprint_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Catalog(spark, sf_dir).info.groupBy("project_name", "filename").agg(F.min("id").alias("fingerprint_id"))
+    return ops.resolve_fingerprints(Catalog(spark, sf_dir))
 
 
 INFO_COLS = ", ".join(f"{mean_sql('h.hist_' + c)} AS {c}_mean, {last_peak_sql('h.hist_' + c)} AS {c}_peak" for c in "rgb")
@@ -89,7 +112,7 @@ INFO_COLS = ", ".join(f"{mean_sql('h.hist_' + c)} AS {c}_mean, {last_peak_sql('h
 
 @query(
     "fingerprint_info",
-    with_(INFO, HISTS, TAGS) + f"""SELECT i.id, i.project_name, i.filename, i.format, i.luminance_mean, i.luminance_stddev, i.color_space_tag, {INFO_COLS}, coalesce(t.tags, '') AS tags
+    with_(INFO, HISTS, TAGS) + f"""SELECT i.id, i.project_name, i.filename, i.format, {measured_sql('i.luminance_mean')} AS luminance_mean, {measured_sql('i.luminance_stddev')} AS luminance_stddev, i.color_space_tag, {INFO_COLS}, coalesce(t.tags, '') AS tags
   FROM inf i JOIN hi h ON h.id = i.id LEFT JOIN (SELECT fingerprint_id, string_agg(tag, '|' ORDER BY tag) AS tags FROM (SELECT DISTINCT fingerprint_id, tag FROM tg) GROUP BY 1) t ON t.fingerprint_id = i.id""",
 )
 def fingerprint_info(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from gradeloom.functions import color
 from gradeloom.operators import features as ft
 from gradeloom.operators import strips as st
 from gradeloom.plans.registry import query
-from gradeloom.plans.sqltext import HISTS, INFO, with_
+from gradeloom.plans.sqltext import HISTS, INFO, measured_sql, with_
 
 FRAMES = "fr AS (SELECT label AS movie, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding AS e FROM embeddings)"
 PX = 'px AS (SELECT movie, frame, i AS "row", (e[3 * i + 1]::DOUBLE + 1) / 2 AS r, (e[3 * i + 2]::DOUBLE + 1) / 2 AS g, (e[3 * i + 3]::DOUBLE + 1) / 2 AS b FROM fr, range(21) t(i))'
@@ -120,6 +120,17 @@ def color_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ft.moments(color.with_oklab(strip(spark, sf_dir)), ["movie"]))
 
 
+def soft_sql(source: str, keys: str, cols: dict[str, tuple[str, float, float]], bins: int = 64) -> str:
+    """Soft histograms of several channels as one list column each, in CTEs named so_<channel>."""
+    out = []
+    for n, (col, lo, hi) in cols.items():
+        out.append(f"sv_{n} AS (SELECT {keys}, s, least(greatest(floor(s), 0), {bins - 1})::INT AS i FROM (SELECT {keys}, ({col} - ({lo}::DOUBLE)) / {hi - lo}::DOUBLE * {bins} AS s FROM {source}))")
+        out.append(f"sx_{n} AS (SELECT {keys}, i AS bin, CASE WHEN s <= 0 OR i = {bins - 1} THEN 1 ELSE 1 - (s - i) END AS w FROM sv_{n} UNION ALL SELECT {keys}, i + 1, s - i FROM sv_{n} WHERE s > 0 AND i < {bins - 1})")
+        out.append(f"so_{n} AS (SELECT {keys}, list(round(coalesce(w, 0), 6) ORDER BY bin) AS hist_{n} FROM (SELECT * FROM (SELECT DISTINCT {keys} FROM {source}) m, (SELECT range AS bin FROM range({bins}))) m LEFT JOIN (SELECT {keys}, bin, sum(w) AS w FROM sx_{n} GROUP BY ALL) x USING ({keys}, bin) GROUP BY {keys})")
+    return ", ".join(out)
+
+
+OK_CHANNELS = {"l": ("ok_l", 0.0, 1.0), "a": ("ok_a", -0.5, 0.5), "b": ("ok_b", -0.5, 0.5)}
 SOFT = """sb AS (SELECT movie, s, least(greatest(floor(s), 0), 63)::INT AS i FROM (SELECT movie, ok_l * 64 AS s FROM lab)),
   sw AS (SELECT movie, i AS bin, CASE WHEN s <= 0 OR i = 63 THEN 1 ELSE 1 - (s - i) END AS w FROM sb UNION ALL SELECT movie, i + 1, s - i FROM sb WHERE s > 0 AND i < 63)"""
 
@@ -129,9 +140,28 @@ def soft_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ft.soft_histogram(color.with_oklab(strip(spark, sf_dir)), ["movie"], "ok_l", 0.0, 1.0))
 
 
-@query("grading_features", with_(*BASE, f"mo AS ({moments_sql('lab', 'movie')})", SOFT) + "SELECT mo.*, h.hist_l FROM mo JOIN (SELECT m.movie, list(round(coalesce(w, 0), 6) ORDER BY b) AS hist_l FROM (SELECT DISTINCT movie FROM px) m, range(64) t(b) LEFT JOIN (SELECT movie, bin, sum(w) AS w FROM sw GROUP BY 1, 2) x ON x.movie = m.movie AND x.bin = b GROUP BY 1) h USING (movie)")
+@query("grading_features", with_(*BASE, f"mo AS ({moments_sql('lab', 'movie')})", soft_sql("lab", "movie", OK_CHANNELS)) + "SELECT mo.*, so_l.hist_l, so_a.hist_a, so_b.hist_b FROM mo JOIN so_l USING (movie) JOIN so_a USING (movie) JOIN so_b USING (movie)")
 def grading_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ft.grading_features(strip(spark, sf_dir), ["movie"]).drop("hist_a", "hist_b"))
+    return rounded(ft.grading_features(strip(spark, sf_dir), ["movie"]))
+
+
+@query(
+    "style_descriptions",
+    with_(*BASE, "mm AS (SELECT movie, frame, CASE WHEN var_pop(ok_l) <= 1e-12 THEN 0 ELSE stddev_pop(ok_l) END AS l_std, avg(ok_a) AS a_mean, avg(ok_b) AS b_mean FROM lab GROUP BY 1, 2)", soft_sql("lab", "movie, frame", {"l": OK_CHANNELS["l"]}),
+          "pc AS (SELECT *, list_position(list_transform(range(1, 65), lambda i: c[i] >= 0.95::DOUBLE * t AND h[i] > 0), true) AS k FROM (SELECT movie, frame, hist_l AS h, list_sum(hist_l) AS t, list_transform(range(1, 65), lambda i: list_sum(hist_l[1:i])) AS c FROM so_l))",
+          "st AS (SELECT mm.*, a_mean * a_mean + b_mean * b_mean AS c2, CASE WHEN t <= 0 THEN 0 ELSE (k - 1 + (0.95::DOUBLE * t - coalesce(c[k - 1], 0)) / h[k]) / 64 END AS p95 FROM mm JOIN pc USING (movie, frame))",
+          """sw AS (SELECT *, concat_ws(' · ', CASE WHEN l_std > 0.35 THEN '高对比度' WHEN l_std < 0.15 THEN '低对比度' END, CASE WHEN a_mean < -0.03 THEN '暗部偏冷' WHEN a_mean > 0.03 THEN '暗部偏暖' END,
+            CASE WHEN p95 > 0.85 THEN '高光柔和延展' END, CASE WHEN c2 > 0.02 THEN '饱和度偏高' WHEN c2 < 0.005 THEN '饱和度低' END) AS words,
+            list_sort([{'d': least(abs(l_std - 0.25) / 0.1, 1.0::DOUBLE), 'p': 0, 't': CASE WHEN l_std >= 0.25 THEN '高对比度' ELSE '低对比度' END}, {'d': least(abs(a_mean) / 0.03, 1.0::DOUBLE), 'p': 1, 't': CASE WHEN a_mean >= 0 THEN '暗部偏暖' ELSE '暗部偏冷' END},
+            {'d': least((0.85 - p95) / 0.85, 1.0::DOUBLE), 'p': 2, 't': '高光柔和延展'}, {'d': least(abs(c2 - 0.0125) / 0.0075, 1.0::DOUBLE), 'p': 3, 't': CASE WHEN c2 >= 0.0125 THEN '饱和度偏高' ELSE '饱和度低' END}])[1].t AS near FROM st)""")
+    + "SELECT movie, frame, CASE WHEN words = '' THEN near ELSE words END AS style FROM sw",
+)
+def style_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame's style in words."""
+    from gradeloom.operators.search import style_description
+
+    g = ft.grading_features(strip(spark, sf_dir), ["movie", "frame"])
+    return g.select("movie", "frame", style_description(F.col("hist_l"), F.col("l_std"), F.col("a_mean"), F.col("b_mean")).alias("style"))
 
 
 @query(
@@ -217,7 +247,7 @@ DELTA = "list_transform(list_zip(x.{0}, y.{0}), lambda z: abs(z[1] - z[2]))"
 
 @query(
     "compare_fingerprints",
-    with_(HISTS, "hp AS (SELECT hi.*, f.luminance_mean FROM hi JOIN fingerprints f ON f.id = hi.id)", "dl AS (SELECT x.id AS pair, abs(x.luminance_mean - y.luminance_mean) AS lm, " + ", ".join(f"{DELTA.format(n)} AS {n}" for n in NAMES) + " FROM hp x JOIN hp y ON y.id = x.id + 1)")
+    with_(HISTS, "hp AS (SELECT hi.*, " + measured_sql("f.luminance_mean") + " AS luminance_mean FROM hi JOIN fingerprints f ON f.id = hi.id)", "dl AS (SELECT x.id AS pair, abs(x.luminance_mean - y.luminance_mean) AS lm, " + ", ".join(f"{DELTA.format(n)} AS {n}" for n in NAMES) + " FROM hp x JOIN hp y ON y.id = x.id + 1)")
     + "SELECT pair, round(lm, 9) AS luminance_mean_delta, " + ", ".join(f"round(list_sum({n}) / 64, 9) AS {n}_mean, round(list_max({n}), 9) AS {n}_max, round(list_sum({n}), 9) AS {n}_l1, (list_position({n}, list_max({n})) - 1)::BIGINT AS {n}_bin" for n in NAMES) + ", round((list_sum(hist_r) + list_sum(hist_g) + list_sum(hist_b)) / 64 / 3, 9) AS overall FROM dl",
 )
 def compare_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,14 +390,23 @@ def vectorscope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(st.vectorscope(strip(spark, sf_dir)))
 
 
+def hard_sql(n: str, col: str, lo: str) -> str:
+    """The hard histogram of one channel over movie and segment, as a list column in the CTE sh_<channel>."""
+    bins = f"SELECT movie, segment, floor(least(greatest({col} - ({lo}::DOUBLE), 0), 1) * {BINS - 1})::INT AS bin, count(*) AS n FROM sg GROUP BY 1, 2, 3"
+    return (
+        f"sl_{n} AS (SELECT movie, segment, bin, n::DOUBLE / sum(n) OVER (PARTITION BY movie, segment) AS share FROM ({bins})), "
+        f"sh_{n} AS (SELECT m.movie, m.segment, list(round(coalesce(share, 0), 6) ORDER BY b) AS hist_{n} FROM (SELECT DISTINCT movie, segment FROM sg) m, range({BINS}) t(b) LEFT JOIN sl_{n} s ON s.movie = m.movie AND s.segment = m.segment AND s.bin = b GROUP BY 1, 2)"
+    )
+
+
 @query(
     "segment_features",
     with_(*BASE, "sg AS (SELECT *, least(frame // (fs // 4), 3)::INT AS segment FROM (SELECT *, max(frame) OVER (PARTITION BY movie) + 1 AS fs FROM lab))", f"mo AS ({moments_sql('sg', 'movie, segment')})",
-          f"sl AS (SELECT movie, segment, bin, n::DOUBLE / sum(n) OVER (PARTITION BY movie, segment) AS share FROM (SELECT movie, segment, floor(least(greatest(ok_l, 0), 1) * {BINS - 1})::INT AS bin, count(*) AS n FROM sg GROUP BY 1, 2, 3))")
-    + f"SELECT mo.*, h.hist_l FROM mo JOIN (SELECT m.movie, m.segment, list(round(coalesce(share, 0), 6) ORDER BY b) AS hist_l FROM (SELECT DISTINCT movie, segment FROM sg) m, range({BINS}) t(b) LEFT JOIN sl ON sl.movie = m.movie AND sl.segment = m.segment AND sl.bin = b GROUP BY 1, 2) h USING (movie, segment)",
+          hard_sql("l", "ok_l", "0.0"), hard_sql("a", "ok_a", "-0.5"), hard_sql("b", "ok_b", "-0.5"))
+    + "SELECT mo.*, sh_l.hist_l, sh_a.hist_a, sh_b.hist_b FROM mo JOIN sh_l USING (movie, segment) JOIN sh_a USING (movie, segment) JOIN sh_b USING (movie, segment)",
 )
 def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.segment_features(strip(spark, sf_dir), 4, BINS).drop("hist_a", "hist_b"))
+    return rounded(st.segment_features(strip(spark, sf_dir), 4, BINS))
 
 
 @query("frame_columns", with_(FRAMES, PX) + 'SELECT movie, "row", round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM px GROUP BY 1, 2')

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.catalog import Catalog
 from gradeloom.functions import vector as v
+from gradeloom.operators import index as vectors
 from gradeloom.operators import search as ops
 from gradeloom.plans.registry import query
 from gradeloom.plans.sqltext import HISTS, INFO, TAGS, with_
+from gradeloom.storage import shared_dir
 
 QUERY_ID = 7
 WORDS = "gilded_skyline plum_ceiling velvet_pulse"
@@ -85,28 +89,29 @@ _register("image_search", with_(EMB) + top_sql(IMAGE, 10), lambda c: ops.image_s
 _register("image_scores", with_(EMB) + f"SELECT id, round(score, 6) AS score FROM ({IMAGE})", lambda c: ops.image_search(_sound_embeddings(c), QUERY_ID, None).drop("rank"))
 _register("image_tag_search", with_(EMB, TAGS) + top_sql(IMAGE + f" AND c.id IN (SELECT fingerprint_id FROM tg WHERE tag IN ({QUOTED}))", 10), lambda c: ops.image_tag_search(_sound_embeddings(c), c.tags, QUERY_ID, WORDS, 10))
 
-INPUTS = f"""hin AS (SELECT f.id, f.embedding, f.embedding_model, f.color_space_tag, f.feature_status, n.n_r, n.n_g, n.n_b, s.tags, i.project_name FROM (SELECT * FROM fingerprints WHERE embedding IS NOT NULL {FINITE}) f
-  LEFT JOIN nf n ON n.id = f.id LEFT JOIN st s ON s.id = f.id LEFT JOIN inf i ON i.id = f.id)"""
+SOUND = "CASE WHEN len(f.embedding) > 0 AND list_bool_and(list_transform(f.embedding, lambda x: isfinite(x))) THEN f.embedding END"
+INPUTS = f"""hin AS (SELECT f.id, f.file_id, {SOUND} AS embedding, f.embedding_model, f.color_space_tag, f.feature_status, n.n_r, n.n_g, n.n_b, s.tags, i.project_name FROM fingerprints f
+  JOIN nf n ON n.id = f.id LEFT JOIN st s ON s.id = f.id LEFT JOIN inf i ON i.id = f.id)"""
 FAMILY = "CASE WHEN lower({0}) IN ('video', 'srgb', 'rec709') THEN 'video' WHEN lower({0}) IN ('acescct', 'acescg', 'log') THEN 'log' WHEN lower({0}) = 'linear' THEN 'linear' ELSE 'unknown' END"
 SIGNALS = f"""sg AS (SELECT c.id, c.project_name, CASE WHEN c.n_r IS NOT NULL AND q.n_r IS NOT NULL THEN least(greatest({GRADING}, 0), 1) END AS grading,
   CASE WHEN c.embedding_model = q.embedding_model AND len(c.embedding) = len(q.embedding) AND len(c.embedding) > 0 THEN (({COSINE}) + 1) / 2 END AS clip,
   CASE WHEN c.tags IS NOT NULL AND q.tags IS NOT NULL THEN len(list_intersect(c.tags, q.tags))::DOUBLE / len(list_distinct(list_concat(c.tags, q.tags))) END AS tag,
-  {FAMILY.format('c.color_space_tag')} <> {FAMILY.format('q.color_space_tag')} AS gap, coalesce(c.feature_status = 'stale', false) AS stale
-  FROM hin c, hin q WHERE q.id = {QUERY_ID} AND c.id <> q.id)"""
+  {FAMILY.format('c.color_space_tag')} <> {FAMILY.format('q.color_space_tag')} AS gap, coalesce(c.feature_status, 'stale') = 'stale' AS stale
+  FROM hin c, hin q WHERE q.id = {{Q}} AND c.id <> q.id AND c.file_id <> q.file_id)"""
 
 
-def hybrid_sql(w: tuple[float, float, float], where: str = "true") -> str:
+def hybrid_sql(w: tuple[float, float, float], where: str = "true", query_id: int | str = QUERY_ID) -> str:
     num = " + ".join(f"coalesce({s} * {x}::DOUBLE, 0)" for s, x in zip(("grading", "clip", "tag"), w))
     den = " + ".join(f"CASE WHEN {s} IS NULL THEN 0 ELSE {x}::DOUBLE END" for s, x in zip(("grading", "clip", "tag"), w))
     body = f"SELECT *, least(greatest(({num}) / nullif({den}, 0), 0), 1) AS score FROM sg WHERE {where}"
-    return with_(HISTS, NORM, TAGS, SETS, INFO, INPUTS, SIGNALS) + (
+    return with_(EMB, HISTS, NORM, TAGS, SETS, INFO, INPUTS, SIGNALS.replace("{Q}", str(query_id))) + (
         "SELECT id, round(grading, 6) AS grading, round(clip, 6) AS clip, round(tag, 6) AS tag, round(score, 6) AS score, gap, stale, "
         f"row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({body}) WHERE score IS NOT NULL QUALIFY rank <= 10"
     )
 
 
 def _inputs(c: Catalog) -> DataFrame:
-    return ops.hybrid_inputs(_sound_embeddings(c), _features(c), c.tags)
+    return ops.hybrid_inputs(c.fingerprints, _features(c), c.tags)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -122,9 +127,55 @@ _register(
 )
 _register(
     "hybrid_prefiltered",
-    hybrid_sql(ops.PRESETS["balanced"], "id IN (SELECT c.id FROM hin c, hin q WHERE q.id = " + f"{QUERY_ID} AND c.id <> q.id AND c.embedding_model = q.embedding_model AND len(c.embedding) = len(q.embedding) ORDER BY {COSINE} DESC, c.id LIMIT 200)"),
-    lambda c: _rounded(ops.prefiltered_hybrid(_inputs(c), QUERY_ID, ops.PRESETS["balanced"], 10)),
+    hybrid_sql(ops.PRESETS["balanced"], "id IN (SELECT c.id FROM em c, em q WHERE q.id = " + f"{QUERY_ID} AND c.id <> q.id AND c.embedding_model = q.embedding_model AND len(c.embedding) = len(q.embedding) ORDER BY {COSINE} DESC, c.id LIMIT 200)"),
+    lambda c: _rounded(ops.prefiltered_hybrid(c.fingerprints, _features(c), c.tags, QUERY_ID, ops.PRESETS["balanced"], 10)),
+)
+BARE = "(SELECT min(f.id) FROM fingerprints f JOIN nf n ON n.id = f.id WHERE f.embedding IS NULL)"
+
+
+def _without_embedding(c: Catalog) -> int:
+    """The first fingerprint with grading features and no embedding."""
+    return c.fingerprints.where("embedding IS NULL").select("id").join(c.histograms.select("id"), "id", "left_semi").agg(F.min("id")).first()[0]
+
+
+_register("hybrid_without_embedding", hybrid_sql(ops.PRESETS["balanced"], query_id=BARE), lambda c: _rounded(ops.hybrid_search(_inputs(c), _without_embedding(c), ops.PRESETS["balanced"], 10)))
+_register(
+    "hybrid_missing_signals",
+    with_(HISTS, NORM, TAGS, SETS, INFO, INPUTS, SIGNALS.replace("{Q}", str(QUERY_ID))) + "SELECT clip IS NULL AS no_clip, tag IS NULL AS no_tag, gap, stale, count(*) AS n, round(sum((0.4::DOUBLE * grading + coalesce(0.4::DOUBLE * clip, 0) + coalesce(0.2::DOUBLE * tag, 0)) / (0.4::DOUBLE + CASE WHEN clip IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN tag IS NULL THEN 0 ELSE 0.2::DOUBLE END)), 6) AS score FROM sg GROUP BY ALL",
+    lambda c: ops.hybrid_search(_inputs(c), QUERY_ID, ops.PRESETS["balanced"], None).groupBy(F.col("clip").isNull().alias("no_clip"), F.col("tag").isNull().alias("no_tag"), "gap", "stale").agg(F.count("*").alias("n"), F.sum("score").alias("score")),
 )
+LISTED = with_(INFO, HISTS, NORM) + f"SELECT id, 1.0::DOUBLE AS score, row_number() OVER (ORDER BY project_name, filename, id) AS rank FROM inf WHERE id IN (SELECT id FROM hi) AND {BARE} IS NOT NULL QUALIFY rank <= 10"
+_register("image_search_fallback", LISTED, lambda c: ops.image_or_listing(c.fingerprints, c.info, c.histograms, _without_embedding(c), 10))
+_register(
+    "image_tag_fallback",
+    with_(TAGS) + top_sql(f"SELECT * FROM ({TAGGED})", 10),
+    lambda c: ops.image_tag_or_tag_search(c.fingerprints, c.tags, _without_embedding(c), WORDS, 10),
+)
+
+
+def _index(c: Catalog) -> vectors.VectorIndex:
+    """The index of the catalog's embeddings in the shared folder, built once for a data directory."""
+    path = f"{shared_dir(c.spark)}/index-{hashlib.sha1(c.sf_dir.encode()).hexdigest()[:16]}"
+    return vectors.load_or_build(c.fingerprints.select("id", "embedding", "embedding_model"), path)
+
+
+_register("image_search_exact_index", with_(EMB, "ez AS (SELECT * FROM em WHERE list_bool_or(list_transform(embedding, lambda x: x <> 0)))") + top_sql(IMAGE.replace("em c, em q", "ez c, ez q"), 10), lambda c: vectors.search(_index(c), c.fingerprints, QUERY_ID, 10, None))
+
+
+@query("image_search_indexed")
+def image_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten by cosine from the nearest cells of the index; approximate, so no SQL: its recall is tested."""
+    c = Catalog(spark, sf_dir)
+    return vectors.search(_index(c), c.fingerprints, QUERY_ID, 10).withColumn("score", F.round("score", 6))
+
+
+@query("hybrid_indexed")
+def hybrid_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search over the index's best 200."""
+    c = Catalog(spark, sf_dir)
+    near = vectors.search(_index(c), c.fingerprints, QUERY_ID, 200)
+    found = ops.prefiltered_hybrid(c.fingerprints, _features(c), c.tags, QUERY_ID, ops.PRESETS["balanced"], 10, near=near)
+    return _rounded(found).withColumn("score", F.round("score", 6))
 
 
 @query("tag_sets", with_(TAGS) + "SELECT fingerprint_id AS id, string_agg(tag, '|' ORDER BY tag) AS tags, count(*) AS n FROM (SELECT DISTINCT fingerprint_id, tag FROM tg) GROUP BY 1")

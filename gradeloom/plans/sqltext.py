@@ -15,6 +15,11 @@ def hist(col: str) -> str:
     return f"CASE WHEN len({i}) = 64 AND list_bool_and(list_transform({i}, lambda x: regexp_matches(x, '{NUMBER}'))) THEN list_transform({i}, lambda x: x::DOUBLE) END"
 
 
+def measured_sql(col: str) -> str:
+    """A measurement that is NaN is none. It is told by its text, as isnan is folded by the statistics of a Parquet file, which leave NaN out."""
+    return f"CASE WHEN {col}::VARCHAR = 'nan' THEN NULL ELSE {col} END"
+
+
 TAGS = """tg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn_ FROM tags WHERE trim(tag, ' ') <> '') WHERE rn_ = 1)"""
 SESSIONS = """ses AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, ingested_at DESC) AS rn_ FROM analytics_sessions) WHERE rn_ = 1)"""
 INFO = """inf AS (SELECT fp.*, f.filename, f.format, f.transfer, f.width, f.height, f.project_id, p.name AS project_name, p.path FROM fingerprints fp

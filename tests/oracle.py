@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import glob
-import math
 
 import duckdb
 
@@ -18,7 +17,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
+        return float(f"{v:.9g}") + 0.0  # NaN stays unequal to NaN
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     return v
