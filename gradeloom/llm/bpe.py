@@ -127,18 +127,15 @@ class PrefixEncoder:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        self._memo.trim()
         return list(itertools.chain.from_iterable(map(self._memo.__getitem__, self._split(text))))
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        self._memo.trim()
         return sum(map(len, map(self._memo.__getitem__, self._split(text))))
 
-    def piece_counts(self, pieces: Iterable[str]) -> list[int]:
-        self._memo.trim()
-        return list(map(len, map(self._memo.__getitem__, pieces)))
+    def piece_ids(self, pieces: Iterable[str]) -> list[tuple[int, ...]]:
+        return list(map(self._memo.__getitem__, pieces))
 
 
 class _Memo(dict):
@@ -149,13 +146,11 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = tuple(self._encoder.piece(piece.encode("utf-8")))
         if len(piece) <= 64:
+            if len(self) >= MEMO_ENTRIES:  # also within one text, however long
+                self.clear()
             self[piece] = ids
         return ids
 
-    def trim(self) -> None:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-
 
 _ENCODERS: dict[str, PrefixEncoder] = {}
 

@@ -29,72 +29,127 @@ LIMIT = 1024
 OVERLAP = 64
 #: Units in each of the two blocks that are compared.
 BLOCK_UNITS = 6
-BUCKETS = 512
 #: Unbroken runs of more tokens than this are cut into atoms of ATOM_CHARS characters.
 ATOM_TOKENS, ATOM_CHARS = 16, 4
 
 _UNIT_END = re.compile(r"\n+|[.!?…;]+[\"'”’)\]]*(?=\s)|[。！？；]+")
 
 
+def _similarities(ids: np.ndarray, unit_of_token: np.ndarray, units: int, block: int = BLOCK_UNITS) -> np.ndarray:
+    """Cosine of the `block` units before and after the end of each unit but the last, over token ids.
+
+    The sum of two blocks' products is the sum over pairs of units, so the products of
+    units up to 2 * block - 1 apart are enough; they come from the occurrences of a token
+    id in order, of which at most that many lie so close. Nothing is as wide as the vocabulary.
+    """
+    lags = 2 * block
+    entries, n = np.unique(ids * units + unit_of_token, return_counts=True)  # by id, then unit
+    token, unit = entries // units, entries % units
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    spread_of = np.diff(np.r_[first, len(token)])  # units that have the id
+    x = n * np.repeat(np.log1p(units / spread_of), spread_of)
+    near = np.zeros((lags, units))
+    near[0] = np.bincount(unit, x * x, units)
+    for shift in range(1, lags):
+        a, b = slice(None, -shift), slice(shift, None)
+        at = np.flatnonzero((token[a] == token[b]) & (unit[b] - unit[a] < lags))
+        if not len(at):
+            break
+        np.add.at(near, (unit[at + shift] - unit[at], unit[at]), x[at] * x[at + shift])
+    sums = np.zeros((lags, units + 1))
+    np.cumsum(near, axis=1, out=sums[:, 1:])
+
+    def total(lag: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Products of unit u and u + lag, for u from lo to hi."""
+        hi, lo = np.minimum(hi, units - 1), np.maximum(lo, 0)
+        return np.where(hi >= lo, sums[lag][np.maximum(hi, -1) + 1] - sums[lag][np.minimum(lo, units)], 0.0)
+
+    g = np.arange(units - 1)
+    cross = sum(total(lag, np.maximum(g - block + 1, g + 1 - lag), np.minimum(g, g + block - lag)) for lag in range(1, lags))
+    before = total(0, g - block + 1, g) + 2 * sum(total(lag, g - block + 1, g - lag) for lag in range(1, block))
+    # products that would end beyond the last unit are zero in `near`
+    after = total(0, g + 1, g + block) + 2 * sum(total(lag, g + 1, g + block - lag) for lag in range(1, block))
+    return cross / np.maximum(np.sqrt(np.maximum(before * after, 0)), 1e-9)
+
+
 def _valleys(ids: np.ndarray, unit_of_token: np.ndarray, units: int) -> np.ndarray:
     """Depth of the cohesion valley at the end of each unit; the last has none."""
     depth = np.zeros(units)
     if units < 2:
         return depth
-    bucket = ids % BUCKETS
-    seen = np.unique(unit_of_token.astype(np.int64) * BUCKETS + bucket)
-    weight = np.log1p(units / np.maximum(np.bincount(seen % BUCKETS, minlength=BUCKETS), 1))
-    similar = np.ones(units)
-    step = 2048
-    for at in range(0, units, step):  # long texts go through in stretches, so memory stays bounded
-        lo, hi = max(0, at - BLOCK_UNITS + 1), min(units, at + step + BLOCK_UNITS)
-        a, b = np.searchsorted(unit_of_token, [lo, hi])
-        m = np.zeros((hi - lo, BUCKETS), np.float32)
-        np.add.at(m, (unit_of_token[a:b] - lo, bucket[a:b]), weight[bucket[a:b]])
-        c = np.vstack([np.zeros((1, BUCKETS), np.float32), np.cumsum(m, axis=0)])
-        gap = np.arange(at, min(at + step, units - 1))
-        left = c[gap + 1 - lo] - c[np.maximum(gap + 1 - BLOCK_UNITS, 0) - lo]
-        right = c[np.minimum(gap + 1 + BLOCK_UNITS, units) - lo] - c[gap + 1 - lo]
-        norm = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
-        similar[gap] = np.einsum("ij,ij->i", left, right) / np.maximum(norm, 1e-9)
-    s = similar[: units - 1]
-    # the peak on either side, climbing while the similarity rises
-    up = s.copy()
-    for i in range(1, len(s)):
-        if s[i - 1] >= s[i]:
-            up[i] = max(up[i - 1], s[i - 1])
-    down = s.copy()
-    for i in range(len(s) - 2, -1, -1):
-        if s[i + 1] >= s[i]:
-            down[i] = max(down[i + 1], s[i + 1])
-    depth[: units - 1] = (up - s) + (down - s)
+    s = _similarities(ids, unit_of_token, units)
+    at = np.arange(len(s))
+    # the peak on either side, climbing while the similarity doesn't fall: where the run that leads down to here begins and ends
+    left = np.maximum.accumulate(np.where(np.r_[True, s[:-1] < s[1:]], at, 0))
+    right = np.minimum.accumulate(np.where(np.r_[s[1:] < s[:-1], True], at, len(s))[::-1])[::-1]
+    depth[: units - 1] = (s[left] - s) + (s[right] - s)
     return depth
 
 
+class _Ruler:
+    """Tokens of any stretch between two atoms of a text, as they are if the stretch is encoded alone.
+
+    Pieces of the pre-tokeniser keep their tokens wherever a stretch begins or ends, but for
+    two: a piece that is cut into atoms and only partly in the stretch, and blanks at its
+    end, which may have been apart only because of the word behind them. Those are encoded again.
+    """
+
+    def __init__(self, enc: PrefixEncoder, text: str, words: list[str], counts: list[int]):
+        self.enc, self.text = enc, text
+        n = np.array(counts, np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        parts = np.where(n > ATOM_TOKENS, -(-size // ATOM_CHARS), 1)
+        self.word_end, self.words_before = np.cumsum(size), np.concatenate([[0], np.cumsum(n)])
+        self.word_of = np.repeat(np.arange(len(words)), parts)
+        if len(self.word_of) == len(words):
+            self.atoms, self.ends = words, self.word_end
+        else:
+            self.atoms = list(itertools.chain.from_iterable([w] if k == 1 else [w[i : i + ATOM_CHARS] for i in range(0, len(w), ATOM_CHARS)] for w, k in zip(words, parts.tolist())))
+            self.ends = np.cumsum(np.fromiter(map(len, self.atoms), np.int64, len(self.atoms)))
+        self.blank = np.fromiter(map(str.isspace, words), bool, len(words))
+
+    def at(self, i: int) -> int:
+        """Characters before atom i."""
+        return int(self.ends[i - 1]) if i else 0
+
+    def tokens(self, i: int, j: int) -> int:
+        """Tokens of the atoms from i to j - 1."""
+        if i >= j:
+            return 0
+        lo, hi = self.at(i), self.at(j)
+        a, b = int(self.word_of[i]), int(self.word_of[j - 1])
+        head = lo > (int(self.word_end[a - 1]) if a else 0)  # the stretch begins inside a word
+        # whole words up to `tail`, then what is encoded again
+        tail = b if int(self.word_end[b]) > hi else b + 1
+        while tail > a and self.blank[tail - 1] and (tail <= b or (tail - 2 >= a and self.blank[tail - 2])):
+            tail -= 1
+        if head and tail <= a + (b > a and bool(self.blank[a])):
+            return self.enc.count(self.text[lo:hi])
+        count = 0
+        if head:
+            count, a = self.enc.count(self.text[lo : int(self.word_end[a])]), a + 1
+        if tail <= b:
+            start = int(self.word_end[tail - 1]) if tail else 0
+            count += self.enc.count(self.text[start:hi])
+        return count + int(self.words_before[tail] - self.words_before[a])
+
+
 def split_text(enc: PrefixEncoder, text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the pieces of a text over the limit, in characters; none for other texts."""
     if not text:
         return []
     words = enc.pieces(text)
-    counts = enc.piece_counts(words)
+    coded = enc.piece_ids(words)
+    counts = list(map(len, coded))
     if sum(counts) <= limit:
         return []
-    torn = None
-    if max(counts) > ATOM_TOKENS:
-        atoms: list[str] = []
-        parts: list[int] = [0]  # cut parts before each atom
-        for w, n in zip(words, counts):
-            cut = [w] if n <= ATOM_TOKENS else [w[i : i + ATOM_CHARS] for i in range(0, len(w), ATOM_CHARS)]
-            atoms += cut
-            parts += [parts[-1]] if len(cut) == 1 else range(parts[-1] + 1, parts[-1] + len(cut) + 1)
-        torn = np.array(parts)
-    else:
-        atoms = words
-    coded = [enc._memo[a] for a in atoms]
+    ruler = _Ruler(enc, text, words, counts)
+    atoms, ends = ruler.atoms, ruler.ends
+    if atoms is not words:
+        coded = enc.piece_ids(atoms)
     n_tokens = np.fromiter(map(len, coded), np.int64, len(coded))
     ids = np.fromiter(itertools.chain.from_iterable(coded), np.int64, int(n_tokens.sum()))
-    ends = np.cumsum(np.fromiter(map(len, atoms), np.int64, len(atoms)))  # characters before the end of each atom
-    total = np.concatenate([[0], np.cumsum(n_tokens)])  # tokens before each atom
+    total = np.concatenate([[0], np.cumsum(n_tokens)])  # tokens before each atom, each encoded alone
     marks = np.fromiter((m.end() for m in _UNIT_END.finditer(text)), np.int64)
     unit_end = np.unique(np.append(np.searchsorted(ends, marks), len(atoms) - 1))  # last atom of each unit
     unit_end = unit_end[unit_end < len(atoms)]
@@ -103,29 +158,22 @@ def split_text(enc: PrefixEncoder, text: str | None, limit: int = LIMIT, overlap
 
     pieces, start = [], 0
     while True:
-        begin = int(ends[start - 1]) if start else 0
-        stop = int(np.searchsorted(total, total[start] + limit, "right")) - 1  # atoms start..stop-1 fit by their own counts
-        low = int(np.searchsorted(total, total[start] + limit // 2))
-        if torn is not None and torn[stop] > torn[start]:
-            stop = _reach(lambda i: enc.count(text[begin : int(ends[i - 1])]) <= limit, stop, len(atoms))
-            low = _reach(lambda i: enc.count(text[begin : int(ends[i - 1])]) < limit // 2, low, stop)
+        # atoms start..stop-1 fit by their own counts, or more where several atoms are one token of the text
+        stop = _reach(lambda i: ruler.tokens(start, i) <= limit, max(int(np.searchsorted(total, total[start] + limit, "right")) - 1, start + 1), len(atoms))
+        low = min(_reach(lambda i: ruler.tokens(start, i) < limit // 2, int(np.searchsorted(total, total[start] + limit // 2)), stop), stop)
         while True:
-            if stop >= len(atoms):
-                end = len(atoms)
-            else:
-                end = _cut(text, ends, unit_end, depth, low, stop)
-            n = enc.count(text[begin : int(ends[end - 1])])
+            end = len(atoms) if stop >= len(atoms) else _cut(text, ends, unit_end, depth, low, stop)
+            n = ruler.tokens(start, end)
             if n <= limit or end <= start + 1:
                 break
             stop = end - 1
-        pieces.append((begin, int(ends[end - 1]), n))
+        pieces.append((ruler.at(start), ruler.at(end), n))
         if end == len(atoms):
             return pieces
         back = max(start + 1, int(np.searchsorted(total, total[end] - overlap, "right")) - 1)
-        last = int(ends[end - 1])
-        short = _reach(lambda i: enc.count(text[int(ends[end - i - 1]) : last]) < overlap, end - back, end - start - 1)
+        short = _reach(lambda i: ruler.tokens(end - i, end) < overlap, end - back, end - start - 1)
         # the fewest atoms that share enough
-        at = min(short + 1, end - start - 1) if enc.count(text[int(ends[end - short - 1]) : last]) < overlap else short
+        at = min(short + 1, end - start - 1) if ruler.tokens(end - short, end) < overlap else short
         start = end - at
 
 

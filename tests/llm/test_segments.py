@@ -95,3 +95,43 @@ def test_unbroken_runs_share_and_fill(text):
         assert n >= 512
     if " " not in text:
         assert all(n >= 1000 for _, _, n in pieces[:-1])
+
+
+def test_any_stretch_is_measured_as_if_encoded_alone():
+    rnd = random.Random(4)
+    parts = ["word", " word", "  ", "\n", "\n\n", " \n ", "'s", " 12345", "!!", " ...", "=" * 60, "漢字", "é", "\t", "🎬", " " * 90, "loooooooooooooooooooooooooooooooooooooong" * 3, "\r\n"]
+    for _ in range(40):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(3, 60)))
+        words = ENC.pieces(text)
+        ruler = segments._Ruler(ENC, text, words, [len(x) for x in ENC.piece_ids(words)])
+        for _ in range(60):
+            i, j = sorted(rnd.randrange(len(ruler.atoms) + 1) for _ in range(2))
+            assert ruler.tokens(i, j) == ENC.count(text[ruler.at(i) : ruler.at(j)]), (text, i, j)
+
+
+def test_similarity_of_blocks_against_the_definition():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for units in (2, 3, 7, 40):
+        unit = np.sort(rng.integers(0, units, 25 * units))
+        unit = np.searchsorted(np.unique(unit), unit)
+        n = int(unit.max()) + 1
+        ids = rng.integers(0, 50_000, len(unit)) // 5000 + unit // 4
+        m = np.zeros((n, int(ids.max()) + 1))
+        np.add.at(m, (unit, ids), 1)
+        m *= np.log1p(n / np.maximum((m > 0).sum(0), 1))
+        want = []
+        for g in range(n - 1):
+            a, b = m[max(0, g - 5) : g + 1].sum(0), m[g + 1 : g + 7].sum(0)
+            want.append(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-9))
+        assert np.allclose(segments._similarities(ids, unit, n), want)
+
+
+def test_depth_is_the_climb_to_the_peaks_on_both_sides(monkeypatch):
+    import numpy as np
+
+    s = np.array([0.5, 0.7, 0.7, 0.2, 0.3, 0.3, 0.1, 0.9])
+    monkeypatch.setattr(segments, "_similarities", lambda *a: s)
+    got = segments._valleys(np.zeros(1), np.zeros(1), 9)
+    assert np.allclose(got, [0.2, 0, 0, 0.5 + 0.1, 0, 0, 0.2 + 0.8, 0, 0])
