@@ -97,3 +97,21 @@ def test_documents(spark):
     text = [(1, "word " * 300), (2, ""), (3, None), (4, "short"), (5, "a" * 9000), (6, " ")]
     got = packing.pack_documents(spark.createDataFrame([(i, t, 3) for i, t in text], "doc_id long, text string, n int"), 128)
     assert {r["doc_id"] for r in got.collect()} == {1, 4, 5, 6}
+
+
+def test_large_capacity(spark):
+    items = [(i, 12_000 + i % 3) for i in range(600)] + [(1000 + i, 1 + i % 5) for i in range(900)] + [(9000, 70_001)]
+    df = spark.createDataFrame(items, "doc_id long, n_tokens int").repartition(4)
+    assert check([tuple(r) for r in packing.fill_containers(df, 36_020).collect()], items, 36_020) > 0.9
+    with pytest.raises(ValueError):
+        packing.fill_containers(df, 1 << 23)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_documents_need_no_more_than_the_lower_bound(spark, sf):
+    from gradeloom.storage import read_table
+    from tests.conftest import DATA
+
+    rows = packing.pack_documents(read_table(spark, f"{DATA}/{sf}", "documents")).collect()
+    full = sum(r["n_tokens"] for r in rows)
+    assert len({r["container"] for r in rows}) <= -(-full // packing.CAPACITY) + 1
