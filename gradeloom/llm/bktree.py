@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.storage import spread
+from gradeloom.storage import materialize, spread
 
 #: Letters of other scripts that look like Latin ones.
 LOOK_ALIKE = {
@@ -32,6 +32,8 @@ DIGIT_LETTER = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 #: Entries up to which the tree is broadcast; larger lists are sharded.
 BROADCAST_ENTRIES = 50_000
+#: Distinct values that one task sets against a shard, on average; their number decides into how many blocks they are cut.
+BLOCK_VALUES = 100_000
 #: Share of the spelling that a value and its entry must have in common.
 SHARE = 0.5
 #: Edits that another word order costs. If it cost none, every rotation were one more free try at half of the letters.
@@ -167,8 +169,9 @@ def match_values(
     the longer entry, then to the smaller key. An empty reference leaves all unmatched.
 
     A reference of at most BROADCAST_ENTRIES entries (counted) becomes one tree that every
-    task gets; a larger one is cut into `shards` trees, each value visits all of them, and
-    the shard winners are merged.
+    task gets; a larger one is cut into at least `shards` trees of as many entries at most, each value
+    visits all of them, in blocks of about BLOCK_VALUES values, and the shard winners are
+    merged. Both give the same result.
     """
     distinct = values.select(F.col(value_col).alias("value")).where("value IS NOT NULL").distinct()
     refs = reference.select(F.col(key_col).cast("long").alias("key"), F.col(entry_col).alias("entry")).where("entry IS NOT NULL AND key IS NOT NULL")
@@ -190,7 +193,9 @@ def match_values(
         got = [(v, *g[:3]) for v in ask["value"] if (g := _search(tree, v, share))]
         return pd.DataFrame(got, columns=["value", "d", "l", "k"])
 
-    blocks = max(1, values.sparkSession.sparkContext.defaultParallelism // shards)
+    distinct = materialize(distinct, "values")  # counted, sent to the shards and joined to their winners
+    shards = max(shards, -(-refs.count() // BROADCAST_ENTRIES))
+    blocks = max(1, values.sparkSession.sparkContext.defaultParallelism // shards, -(-distinct.count() // BLOCK_VALUES))
     pieces = F.array(*[F.lit(i) for i in range(shards)])
     block = F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int")
     asked = distinct.select("value", block.alias("block"), F.explode(pieces).alias("shard"))

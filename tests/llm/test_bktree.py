@@ -99,3 +99,18 @@ def test_half_of_the_spelling_is_enough():
     tree = bktree.build([(1, "abcdwxyz"), (2, "slate_falloff"), (3, "glacial_veil"), (4, "plum_ceiling")])
     keys = [g[2] if (g := bktree._search(tree, v, bktree.SHARE)) else -1 for v in ("abcd", "fathom crate", "v3 FINAL final", "ceiling/plum")]
     assert keys == [1, -1, -1, 4]
+
+
+def test_shards_and_blocks_give_what_one_tree_gives(spark, monkeypatch):
+    import duckdb
+
+    from tests.conftest import DATA
+
+    sf = f"{DATA}/sf0.01"
+    vocabulary = spark.read.parquet(f"{sf}/style_vocabulary.parquet")
+    typed = [r[0] for r in duckdb.sql(f"SELECT DISTINCT tag FROM '{sf}/tags.parquet' WHERE tag IS NOT NULL").fetchall()]
+    values = spark.createDataFrame([(t,) for t in typed], "value string")
+    one = sorted(tuple(r) for r in bktree.match_values(values, vocabulary).collect())
+    monkeypatch.setattr(bktree, "BROADCAST_ENTRIES", 20)
+    monkeypatch.setattr(bktree, "BLOCK_VALUES", 50)
+    assert sorted(tuple(r) for r in bktree.match_values(values, vocabulary, shards=3).collect()) == one
