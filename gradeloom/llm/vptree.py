@@ -34,8 +34,11 @@ SHARD_ROWS = 16_384
 #: Queries that one copy of a shard should answer.
 QUERIES_A_SLOT = 65_536
 LEAF_ROWS = 64
-#: The top tree goes to every executor; a table of nodes over this size is refused.
+#: The top tree goes to every executor, so its sample is held to this size. It has enough rows for the shards of some
+#: 2 * 10**9 rows; beyond, shards hold more than SHARD_ROWS, are cut by the hash, and queries visit all cuts: as exact, at more cost.
 TOP_TREE_MB = 64
+#: What chords of single-precision vectors may be off, where the triangle inequality decides.
+SLACK = 1e-3
 
 
 def sound_vectors(df: DataFrame, column: str, size: int = 64) -> DataFrame:
@@ -127,7 +130,7 @@ def visited_leaves(tree: Node, m: np.ndarray, radius: np.ndarray, factor: float)
         if node.point is None:
             yield node, rows
             continue
-        d, r = _chords(m[rows], node.point), factor * radius[rows]
+        d, r = _chords(m[rows], node.point), factor * (radius[rows] + SLACK)
         stack += [(node.outer, rows[d >= node.median - r]), (node.inner, rows[d <= node.median + r])]
 
 
@@ -291,46 +294,68 @@ def similar_vectors(
 
     schema = "model string, shard int, cut int, slot int, role int, id long, vec binary"
     loads = {}
-    placed = materialize(_place(active, tree), "placed")
+    # a model of few rows has one shard, or its rows would lie thinly among those of the others
+    small = {r["model"] for r in active.groupBy("model").count().where(F.col("count") <= shard_rows).select("model").collect()}
+    placed = materialize(_place(active, tree, small), "placed")
     for r in placed.groupBy("model", "shard").count().collect():  # one row per shard: rows / shard_rows of them
         loads[(r["model"], r["shard"])] = -(-r["count"] // (2 * shard_rows))
     cuts = {key: n for key, n in loads.items() if n > 1}
     # shards that many queries visit get several slots, each with all of the shard's rows and a share of the queries
+    def slots_for(m: np.ndarray, radius: np.ndarray, n: int) -> dict[int, int]:
+        """Slots of each shard, from the visits of a sample (m, radius) of n queries."""
+        if not len(m):
+            return {}
+        visits = {node.leaf: len(at) for node, at in visited_leaves(tree, m, radius, factor)}
+        return {leaf: -(-c * n // (len(m) * QUERIES_A_SLOT)) for leaf, c in visits.items()}
+
     slots = {}
-    if min_cosine is not None and len(some):
-        for node, at in visited_leaves(tree, some, np.full(len(some), np.sqrt(max(2 - 2 * min_cosine, 0)), np.float32), factor):
-            slots[node.leaf] = -(-len(at) * rows // (len(some) * QUERIES_A_SLOT))
+    if min_cosine is not None:
+        slots = slots_for(some, np.full(len(some), np.sqrt(max(2 - 2 * min_cosine, 0)), np.float32), rows)
     both = queries is None and min_cosine is not None  # rows of undivided shards are query and data at once
 
-    def route(radius_col: bool):
+    def route(radius_col: bool, slots: dict[int, int]):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in frames:
                 if not len(x):
                     continue
                 m = _matrix(x["vec"])
                 radius = x["radius"].to_numpy(np.float32) if radius_col else np.full(len(x), np.sqrt(max(2 - 2 * limit, 0)), np.float32)
-                for node, at in visited_leaves(tree, m, radius, factor):
+                alone = np.array([g in small for g in x["model"]])
+                visits = [(node.leaf, at[~alone[at]]) for node, at in visited_leaves(tree, m, radius, factor)]
+                for leaf, at in [*visits, (0, np.flatnonzero(alone))]:
                     part = x.iloc[at]
+                    part = part[np.array([(g, leaf) in loads for g in part["model"]], bool)]  # not to shards without a row of the model
                     if radius_col:
-                        part = part[part["shard"] != node.leaf]
-                    elif both and slots.get(node.leaf, 1) == 1:
-                        part = part[[s != node.leaf or (g, s) in cuts for g, s in zip(part["model"], part["shard"])]]
+                        part = part[part["shard"] != leaf]
+                    elif both and slots.get(leaf, 1) == 1:
+                        part = part[np.array([s != leaf or (g, s) in cuts for g, s in zip(part["model"], part["shard"])], bool)]
                     for cut in range(max(cuts.values(), default=1)):
-                        has = part if cut == 0 else part[[cuts.get((g, node.leaf), 1) > cut for g in part["model"]]]
+                        has = part if cut == 0 else part[np.array([cuts.get((g, leaf), 1) > cut for g in part["model"]], bool)]
                         if len(has):
-                            slot = _mixed(has["id"]) % slots.get(node.leaf, 1)
-                            yield pd.DataFrame({"model": has["model"], "shard": node.leaf, "cut": cut, "slot": slot, "role": 1, "id": has["id"], "vec": has["vec"]})
+                            slot = _mixed(has["id"]) % slots.get(leaf, 1)
+                            yield pd.DataFrame({"model": has["model"], "shard": leaf, "cut": cut, "slot": slot, "role": 1, "id": has["id"], "vec": has["vec"]})
+
+        return run
+
+    def stored(slots: dict[int, int]):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in frames:
+                n = np.array([cuts.get(key, 1) for key in zip(x["model"], x["shard"])], np.int64)
+                wide = np.array([slots.get(s, 1) for s in x["shard"]], np.int64)
+                role = np.where((n == 1) & (wide == 1), 2, 0) if both else 0
+                frame = pd.DataFrame({"model": x["model"], "shard": x["shard"], "cut": _mixed(x["id"]) % n, "slot": 0, "role": role, "id": x["id"], "vec": x["vec"]})
+                for slot in range(int(wide.max(initial=1))):
+                    yield frame[wide > slot].assign(slot=slot)
 
         return run
 
-    def stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def at_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query once for every cut of its own shard."""
         for x in frames:
             n = np.array([cuts.get(key, 1) for key in zip(x["model"], x["shard"])], np.int64)
-            wide = np.array([slots.get(s, 1) for s in x["shard"]], np.int64)
-            role = np.where((n == 1) & (wide == 1), 2, 0) if both else 0
-            frame = pd.DataFrame({"model": x["model"], "shard": x["shard"], "cut": _mixed(x["id"]) % n, "slot": 0, "role": role, "id": x["id"], "vec": x["vec"]})
-            for slot in range(int(wide.max(initial=1))):
-                yield frame[wide > slot].assign(slot=slot)
+            at = np.repeat(np.arange(len(x)), n)
+            cut = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            yield x.iloc[at][["model", "shard", "id", "vec"]].assign(cut=cut, slot=0, role=1)[["model", "shard", "cut", "slot", "role", "id", "vec"]]
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         data, ask = frame[frame["role"] != 1], frame[frame["role"] != 0]
@@ -341,26 +366,29 @@ def similar_vectors(
         return pd.DataFrame({"id": a, "neighbour": b, "cosine": c})
 
     asked_places = placed if queries is None else placed.join(asked.select("id"), "id", "left_semi").select(placed.columns)
-    data = placed.mapInPandas(stored, schema)
     found_schema = "id long, neighbour long, cosine double"
 
-    # twice as many partitions as groups, so that few of them meet in one task, at any number of rows
-    groups = sum(cuts.get(key, 1) * slots.get(key[1], 1) for key in loads)
-    tasks = max(2 * groups, shuffle_partitions(df.sparkSession))
-
-    def searched(ask: DataFrame) -> DataFrame:
+    def searched(ask: DataFrame, slots: dict[int, int]) -> DataFrame:
         keys = ["model", "shard", "cut", "slot"]
-        return data.unionByName(ask).repartition(tasks, *keys).groupBy(*keys).applyInPandas(search, found_schema)
+        # twice as many partitions as groups, so that few of them meet in one task, at any number of rows
+        groups = sum(cuts.get(key, 1) * slots.get(key[1], 1) for key in loads)
+        tasks = max(2 * groups, shuffle_partitions(df.sparkSession))
+        return placed.mapInPandas(stored(slots), schema).unionByName(ask).repartition(tasks, *keys).groupBy(*keys).applyInPandas(search, found_schema)
 
     if min_cosine is not None:
-        found = searched(asked_places.mapInPandas(route(False), schema))
+        found = searched(asked_places.mapInPandas(route(False, slots), schema), slots)
     else:
-        home = asked_places.select("model", "shard", F.explode(F.sequence(F.lit(0), F.lit(max(cuts.values(), default=1) - 1))).alias("cut"), F.lit(0).alias("slot"), F.lit(1).alias("role"), "id", "vec")
-        first = materialize(searched(home), "home")
+        # as many queries as rows meet at home, so no slots are needed there
+        first = materialize(searched(asked_places.mapInPandas(at_home, schema), {}), "home")
         worst = first.groupBy("id").agg(F.count("*").alias("n"), F.array_min(F.slice(F.sort_array(F.collect_list("cosine"), False), 1, k)).alias("c"))
         radius = F.when(F.col("n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("c"), F.lit(0.0)))).otherwise(F.lit(2.0)).alias("radius")
         far = asked_places.join(worst, "id", "left").select(*asked_places.columns, F.coalesce(radius, F.lit(2.0)).alias("radius"))
-        found = first.unionByName(searched(far.mapInPandas(route(True), schema)))
+        if queries is not None:
+            far = materialize(far, "far")  # few rows that are counted, sampled and sent
+        n_asked = rows if queries is None else far.count()
+        probe = hash_sample(far.select("id", "vec", "radius"), n_asked, SAMPLE_ROWS, 13).toPandas()
+        wide = slots_for(_matrix(probe["vec"]), probe["radius"].to_numpy(np.float32), n_asked) if len(probe) else {}
+        found = first.unionByName(searched(far.mapInPandas(route(True, wide), schema), wide))
     w = Window.partitionBy("id").orderBy(F.col("cosine").desc(), F.col("neighbour").asc())
     best = found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
     if not has_crowds:
@@ -375,11 +403,12 @@ def similar_vectors(
     return best.unionByName(copies)
 
 
-def _place(active: DataFrame, tree: Node) -> DataFrame:
+def _place(active: DataFrame, tree: Node, small: set[str]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             if len(x):
-                yield pd.DataFrame({"id": x["id"], "model": x["model"], "shard": home_leaves(tree, _matrix(x["vec"])), "vec": x["vec"]})
+                shard = np.where([g in small for g in x["model"]], 0, home_leaves(tree, _matrix(x["vec"])))
+                yield pd.DataFrame({"id": x["id"], "model": x["model"], "shard": shard, "vec": x["vec"]})
 
     return spread(active).mapInPandas(run, "id long, model string, shard int, vec binary")
 

@@ -38,7 +38,7 @@ def found(df):
     return out
 
 
-@pytest.mark.parametrize(("limit", "slot"), [(None, 32768), (0.9, 32768), (0.9, 50)])
+@pytest.mark.parametrize(("limit", "slot"), [(None, 32768), (None, 20), (0.9, 32768), (0.9, 50)])
 def test_exact_with_factor_one(spark, monkeypatch, limit, slot):
     monkeypatch.setattr(vptree, "QUERIES_A_SLOT", slot)
     rows = clustered(300)
@@ -96,6 +96,14 @@ def test_masses_of_copies(spark):
     assert all(len(got[i]) == 3 for i, _, _ in rows)
 
 
+def test_a_small_model_among_many_shards(spark):
+    """Three rows of one model have each other, however many shards the other model fills."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist(), "big") for i in range(900)] + [(5000 + i, rng.normal(size=8).tolist(), "small") for i in range(3)]
+    got = found(vptree.similar_vectors(table(spark, rows), k=5, factor=0.25, size=8, shard_rows=40))
+    assert all({j for j, _ in got[i]} == {5000, 5001, 5002} - {i} for i in (5000, 5001, 5002))
+
+
 def test_trees_keep_every_row():
     rng = np.random.default_rng(0)
     m = vptree.unit(np.vstack([rng.normal(size=(200, 8)), np.ones((100, 8))]))
