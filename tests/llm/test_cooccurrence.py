@@ -91,3 +91,42 @@ def test_saddlepoint_near_exact(monkeypatch):
         near = co.log_tail(k, q, m)
         monkeypatch.setattr(co, "EXACT_TAIL", 64)
         assert abs(near - exact) < 0.08
+
+
+def test_false_discovery_against_the_definition(spark):
+    rng = np.random.default_rng(3)
+    p = [co._rounded_tail(float(x)) for x in np.concatenate([-rng.exponential(2, 200), -rng.exponential(3e5, 50), -rng.exponential(3000, 50), np.zeros(30)])] * 2
+    tests = math.log10(5000)
+    df = spark.createDataFrame([(x, 1) for x in p], "log10_p double, n long").repartition(3)
+    have = {r["log10_p"]: r["log10_q"] for r in co.false_discovery(df, tests).collect()}
+    order = sorted(p)
+    rank = {x: sum(1 for z in order if z <= x) for x in set(p)}
+    for x in set(p):
+        want = min(0.0, min(z + tests - math.log10(rank[z]) for z in rank if z >= x))
+        assert math.isclose(have[x], want, abs_tol=1e-6)
+
+
+def test_rare_pairs_count_in_the_ranks(spark):
+    """Two items of five records each that meet four times are rarer by chance than what comes out; they take their rank."""
+    rows = [(f"t{k % 4}", "p", f"f{k}") for k in range(400)] + [("a", "p", f"f{k}") for k in range(5)] + [("b", "p", f"f{k}") for k in range(1, 6)]
+    rows += [("c", "p", f"f{k}") for k in range(100, 180)] + [("d", "p", f"f{k}") for k in range(150, 230)]
+    out = co.surprising_pairs(co.tag_records(table(spark, rows)), 5)
+    have = {(r["tag_a"], r["tag_b"]): r for r in out.collect()}
+    assert ("a", "b") not in have
+    c_d = have[("c", "d")]
+    strong = sum(r["log10_p"] <= c_d["log10_p"] for r in have.values())
+    family = 8 * 7 / 2
+    alone = c_d["log10_p"] + math.log10(family) - math.log10(strong)
+    assert c_d["log10_q"] < alone - 1e-6 or c_d["log10_q"] == 0.0
+
+
+def test_blocks_of_degrees_fit_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    degree, items = np.unique(rng.integers(1, 200, 60)).astype(float), None
+    items = rng.integers(1, 30, len(degree)).astype(float)
+    size, records = np.arange(1, 12.0), rng.integers(50, 400, 11).astype(float)
+    size = size * (degree * items).sum() / (size * records).sum()
+    one = co.fit_null(degree, items, size, records)
+    monkeypatch.setattr(co, "CELLS", 25)
+    two = co.fit_null(degree, items, size, records)
+    assert np.allclose(one[0], two[0]) and np.allclose(one[1], two[1])
