@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.storage import materialize
+from gradeloom.storage import materialize, shuffle_partitions
 
 #: Items of a record that are paired at once; larger records are cut into blocks that are paired with each other.
 BLOCK_ITEMS = 256
@@ -175,22 +175,25 @@ def fit_null(degree: np.ndarray, items: np.ndarray, size: np.ndarray, records: n
 
 def _exact_tail(k: int, q: np.ndarray, m: np.ndarray) -> float:
     """P(X >= k) for a sum of Binomial(m, q), from sums of non-negative terms only."""
-    top = k + 48 + int(8 * math.sqrt(k))
-    p = np.zeros(top + 1)
-    p[0] = 1.0
-    for qi, mi in zip(q, m):
-        n = int(min(mi, top))
-        j = np.arange(n + 1)
-        if qi <= 0:
-            continue
-        if qi >= 1:
-            p = np.concatenate([np.zeros(min(int(mi), top + 1)), p])[: top + 1]
-            continue
-        steps = np.log((mi - j[1:] + 1) / j[1:]) + math.log(qi) - math.log1p(-qi)
-        b = np.exp(mi * math.log1p(-qi) + np.concatenate([[0.0], np.cumsum(steps)]))
-        p = np.convolve(p, b)[: top + 1]
-    low = p[:k].sum()
-    return float(min(1.0, p[k:].sum() if low > 0.1 or k == 0 or p[k:].sum() < 0.1 else 1 - low))
+    sure = int(m[q >= 1].sum())
+    q, m = q[(q > 0) & (q < 1)], m[(q > 0) & (q < 1)]
+    if k <= sure:
+        return 1.0
+    k -= sure
+    if not len(q):
+        return 0.0
+    # terms shrink at least by this ratio from k on
+    ratio = float((m * q / (1 - q)).sum()) / (k + 1)
+    further = 48 + int(8 * math.sqrt(k))
+    top = k + (further if ratio >= 1 else min(further, 2 + int(14 / -math.log(ratio)) if ratio > 0 else 2))
+    j = np.arange(1, top + 1)
+    steps = np.log(np.maximum(m[:, None] - j + 1, 1e-300) / j) + (np.log(q) - np.log1p(-q))[:, None]
+    b = np.exp((m * np.log1p(-q))[:, None] + np.concatenate([np.zeros((len(q), 1)), np.cumsum(steps, axis=1)], axis=1))
+    p = b[0]
+    for other in b[1:]:
+        p = np.convolve(p, other)[: top + 1]
+    low, high = float(p[:k].sum()), float(p[k:].sum())
+    return min(1.0, high if low > 0.1 or high < 0.1 else 1 - low)
 
 
 def log_tail(k: float, q: np.ndarray, m: np.ndarray) -> float:
@@ -296,6 +299,8 @@ def surprising_pairs(records: DataFrame, least: int = 5) -> DataFrame:
     # the tail depends on the three counts alone, which many pairs share
     lo, hi = F.least("n_a", "n_b").alias("lo"), F.greatest("n_a", "n_b").alias("hi")
     kinds = pairs.groupBy("n_ab", lo, hi).agg(F.count("*").alias("n"))
+    # few bytes and much to compute, so the tasks follow the cores, not the size
+    kinds = kinds.repartition(2 * max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)))
     kinds = materialize(kinds.mapInPandas(tails, "n_ab long, lo long, hi long, n long, expected double, log10_p double"), "tails")
     ranked = false_discovery(kinds, math.log10(max(family * (family - 1) / 2, 1)))
     known = kinds.where(F.col("n_ab") >= least).join(ranked, "log10_p").select("n_ab", "lo", "hi", "expected", "log10_p", "log10_q")
