@@ -7,13 +7,17 @@ the timer, emits the final session.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.storage import shared_dir
+
 GAP_MS = 1_800_000
 #: Width of the slices that a key is cut into, so that no task holds the whole log of one key.
 SLICE_MS = 86_400_000
@@ -119,50 +123,98 @@ def sessionize(events: DataFrame, key: str = "user_name", start: str = "start",
     )
 
 
+def merged(parts: Iterable[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """Events and partial sessions (start, end, count), in any order, as the fewest partial sessions: one pass of the timers."""
+    open_, out = OpenSession(gap), []
+    for start, end, n in sorted(parts):
+        if (done := open_.event(start, end, n)) is not None:
+            out.append(done)
+    if (done := open_.expire()) is not None:
+        out.append(done)
+    return out
+
+
 def sessionize_stream(events: DataFrame, key: str = "user_name", ts: str = "ts", end: str = "end", gap: int = GAP_MS, late: str = "1 day") -> DataFrame:
     """The streaming form: `ts` (timestamp) is the start, `end` (ms) the end of an event.
 
-    Events of a key are held until the watermark passes them, then taken in order, so
-    events up to `late` late keep their place. The event-time timer of a key fires when
-    the watermark passes its latest end plus the gap and emits the final session.
+    Partial sessions merge in any order, so the state of a key is its open ones: at most
+    one a gap within the time the watermark lags, however many events they have. Events
+    of a key are merged inside each Arrow batch before they are shuffled, so a busy key sends
+    few rows. The event-time timer of a key fires when the watermark passes an
+    open session's latest end plus the gap; no event on time can reach it any more, and it
+    is emitted with start, end, duration and count. An event later than `late` is dropped,
+    or, if it was merged with one on time, may open a session of its own.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    out = f"{key} string, session_start long, session_end long, events long"
+    kind = events.schema[key].dataType.simpleString()
+
+    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            rows = []
+            for k, part in x.groupby("k", sort=False):
+                at = part["start"].sort_values().to_numpy()
+                for s, e, n in merged(zip(part["start"].tolist(), part["end"].tolist(), [1] * len(part)), gap):
+                    # the latest start in it decides whether the partial session is late
+                    last = int(at[at.searchsorted(max(s, e), "right") - 1])
+                    rows.append((k, s, e, n, last))
+            yield pd.DataFrame(rows, columns=["k", "start", "end", "n", "last"])
 
     def run(k, frames, state: GroupState):
-        starts, ends, s, e, n = state.get if state.exists else ([], [], 0, 0, 0)
-        starts, ends = list(starts), list(ends)
+        parts = list(zip(*state.get)) if state.exists else []
         for x in frames:
-            starts += x["__start"].tolist()
-            ends += x["__end"].tolist()
+            parts = merged([*parts, *zip(x["start"].tolist(), x["end"].tolist(), x["n"].tolist())], gap)
         mark = state.getCurrentWatermarkMs()
-        open_, done = OpenSession(gap, s, e, n), []
-        pending = sorted(zip(starts, ends))
-        ready = [p for p in pending if p[0] <= mark]
-        waiting = pending[len(ready) :]
-        for a, b in ready:
-            if (closed := open_.event(a, max(a, b))) is not None:
-                done.append(closed)
-        if open_.count and open_.timer() < mark and not (waiting and waiting[0][0] <= open_.timer()):
-            done.append(open_.expire())
-        if open_.count or waiting:
-            state.update(([p[0] for p in waiting], [p[1] for p in waiting], open_.start, open_.end, open_.count))
-            due = min([x for x in ([open_.timer()] if open_.count else []) + ([waiting[0][0]] if waiting else [])])
-            state.setTimeoutTimestamp(max(due, mark) + 1)
+        done = [p for p in parts if p[1] + gap < mark]
+        waiting = parts[len(done) :]
+        if waiting:
+            state.update(tuple(list(c) for c in zip(*waiting)))
+            state.setTimeoutTimestamp(max(min(p[1] for p in waiting) + gap, mark) + 1)
         elif state.exists:
             state.remove()
         if done:
-            yield pd.DataFrame([(k[0], *d) for d in done], columns=[key, "session_start", "session_end", "events"])
-
-    rows = events.withWatermark(ts, late).select(
-        F.col(key), F.col(ts), F.unix_millis(F.col(ts)).alias("__start"), F.coalesce(F.col(end), F.unix_millis(F.col(ts))).alias("__end")
-    ).where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    return rows.groupBy(key).applyInPandasWithState(
-        run, out, "starts array<long>, ends array<long>, s long, e long, n long", "append", GroupStateTimeout.EventTimeTimeout
+            yield pd.DataFrame([(k[0], s, e, e - s, n) for s, e, n in done], columns=[key, "session_start", "session_end", "duration_ms", "events"])
+
+    start = F.unix_millis(F.col(ts))
+    rows = events.where(F.col(ts).isNotNull()).select(F.col(key).alias("k"), start.alias("start"), F.greatest(start, F.coalesce(F.col(end), start)).alias("end"))
+    # rows without a key move the watermark, then they are left out
+    small = rows.where("k IS NOT NULL").mapInPandas(combine, f"k {kind}, start long, end long, n long, last long")
+    bare = rows.where("k IS NULL").select("k", "start", "end", F.lit(0).cast("long").alias("n"), F.col("start").alias("last"))
+    both = small.unionByName(bare).withColumn("last", F.timestamp_millis("last")).withWatermark("last", late)
+    # the condition names the watermark's column, or it would be pushed below the watermark
+    both = both.where(F.when(F.col("last").isNotNull(), F.col("k").isNotNull())).withColumnRenamed("k", key)
+    return both.groupBy(key).applyInPandasWithState(
+        run, f"{key} {kind}, session_start long, session_end long, duration_ms long, events long", "starts array<long>, ends array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def stream_sessions(events: DataFrame, batches: int = 3, gap: int = GAP_MS, late: str = "1 day", key: str = "user_name") -> DataFrame:
+    """The sessions of a table of (key, start, end) as a stream finds them.
+
+    The events arrive as files in `batches` deliveries by time, each taken up by a new run
+    of the query over the same checkpoint, so the open sessions pass through stored state
+    between them. A last delivery without a key lies beyond all timers and closes every session.
+    """
+    spark = events.sparkSession
+    root = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(F.col(key), F.timestamp_millis(F.col("start").cast("long")).alias("ts"), F.col("end").cast("long").alias("end")).where("ts IS NOT NULL")
+    lo, hi = rows.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max(F.greatest("ts", F.timestamp_millis(F.coalesce("end", F.unix_millis("ts"))))))).first()
+    if lo is None:
+        return spark.createDataFrame([], f"{key} {kind}, session_start long, session_end long, duration_ms long, events long")
+    step = (hi - lo) // batches + 1
+    rows.limit(0).write.parquet(f"{root}/in")  # the source wants its folder
+    source = spark.readStream.schema(f"{key} {kind}, ts timestamp, end long").parquet(f"{root}/in")
+    found = sessionize_stream(source, key, gap=gap, late=late)
+    part = F.floor((F.unix_millis("ts") - F.lit(lo)) / step)
+    far = spark.range(1).select(F.lit(None).cast(kind).alias(key), (F.timestamp_millis(F.lit(hi + gap + 1000)) + F.expr(f"INTERVAL {late}") * 2).alias("ts"), F.lit(None).cast("long").alias("end"))
+    for i in range(batches + 1):
+        (rows.where(part == i) if i < batches else far).write.mode("append").parquet(f"{root}/in")
+        q = found.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/out")
+
+
 def top_users(sessions: DataFrame, key: str = "user_name") -> DataFrame:
     """Sessions, events and total duration of each user."""
     return sessions.groupBy(key).agg(
@@ -170,4 +222,4 @@ def top_users(sessions: DataFrame, key: str = "user_name") -> DataFrame:
     )
 
 
-__all__ = ["GAP_MS", "OpenSession", "clean_commands", "sessionize", "sessionize_stream", "top_users"]
+__all__ = ["GAP_MS", "OpenSession", "clean_commands", "sessionize", "sessionize_stream", "stream_sessions", "top_users"]

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from gradeloom.streaming.sessions import OpenSession, clean_commands, sessionize, sessionize_stream
+from gradeloom.streaming.sessions import OpenSession, clean_commands, merged, sessionize, sessionize_stream, stream_sessions
 
 LOG = "session_id string, command string, started_at long, ended_at long, user string, created_at long, ingested_at timestamp_ntz, command_extra string"
 
@@ -87,3 +87,26 @@ def test_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got == [("a", 0, 90_500, 3), ("a", 5_000_000, 5_000_500, 1), ("b", 100_000, 120_500, 2)]
+
+
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 80)), min_size=1, max_size=40), st.randoms())
+def test_partial_sessions_merge_in_any_order(events, rnd):
+    rows = [(a, a + d, 1) for a, d in events]
+    want = [(s, e, n) for _, s, e, n in brute([("u", s, e) for s, e, _ in rows], 10)]
+    rnd.shuffle(rows)
+    parts: list = []
+    while rows:
+        k = rnd.randrange(1, 5)
+        parts, rows = merged([*parts, *merged(rows[:k], 10)], 10), rows[k:]
+    assert parts == want
+
+
+def test_stream_of_a_table(spark):
+    """Deliveries in parts give what the batch gives, with ties, repeats, overlaps and hot keys."""
+    base = 1_700_000_000_000
+    rnd = random.Random(8)
+    events = [(rnd.choice(["hot"] * 6 + ["a", "b", "c", None]), base + s, base + s + rnd.choice([0, 1000, 90_000_000])) for s in (rnd.randrange(40) * 900_000 for _ in range(400))]
+    df = spark.createDataFrame(events, "user_name string, start long, end long").repartition(3)
+    got = sorted(tuple(r) for r in stream_sessions(df, batches=3, late="2 hours").collect())
+    assert got == sorted(tuple(r) for r in sessionize(df).collect())
+    assert stream_sessions(df.limit(0)).count() == 0
