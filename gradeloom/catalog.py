@@ -119,11 +119,11 @@ class Catalog:
 
     @property
     def luts(self) -> DataFrame:
-        """A lookup table for every tenth fingerprint."""
-        i = self.info.where("id % 10 = 0")
+        """A lookup table for every fingerprint."""
+        i = self.info
         kind = F.element_at(F.array(*[F.lit(x) for x in ("cube", "3dl", "look", "csp")]), (F.col("id") % 4 + 1).cast("int"))
         return i.select(
-            (F.col("id") / 10).cast("long").alias("id"), "project_id", F.col("id").alias("fingerprint_id"), F.concat(F.lit("grade "), F.col("id").cast("string")).alias("title"),
+            "id", "project_id", F.col("id").alias("fingerprint_id"), F.concat(F.lit("grade "), F.col("id").cast("string")).alias("title"),
             kind.alias("format"), F.when(F.col("id") % 20 == 0, 33).otherwise(17).cast("long").alias("grid_size"),
             F.concat(F.lit("/luts/"), (F.col("id") % 50).cast("string"), F.lit("."), kind).alias("output_path"), "created_at",
         )

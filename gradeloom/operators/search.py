@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import vector as v
+from gradeloom.operators.features import tile_features
 
 #: Weights of grading, clip and tag signals.
 PRESETS = {"grading-first": (0.6, 0.3, 0.1), "balanced": (0.4, 0.4, 0.2), "pyramid": (0.6, 0.3, 0.1)}
@@ -248,6 +249,15 @@ def image_tag_or_tag_search(embeddings: DataFrame, tags: DataFrame, query_id: in
     return first.unionByName(tag_search(tags, text, k).select("id", "score", "rank").join(F.broadcast(ok), how="left_anti"))
 
 
+def merged_vocabulary(custom: DataFrame, default: DataFrame) -> DataFrame:
+    """(tag, place, custom): the custom tags (tag, place) in their order, then the default ones (tag, place) that aren't among them; each tag once."""
+    mine = custom.where("tag IS NOT NULL").groupBy("tag").agg(F.min("place").alias("place"))
+    rest = default.where("tag IS NOT NULL").groupBy("tag").agg(F.min("place").alias("place")).join(mine.select("tag"), "tag", "left_anti")
+    both = mine.withColumn("custom", F.lit(True)).unionByName(rest.withColumn("custom", F.lit(False)))
+    # a vocabulary is a list of labels, counted before it is used; one task orders it
+    return both.select("tag", F.row_number().over(Window.orderBy(F.col("custom").desc(), "place", "tag")).cast("long").alias("place"), "custom")
+
+
 def zero_shot_tags(images: DataFrame, labels: DataFrame, n: int = 5, scale: float = 100.0) -> DataFrame:
     """(id, tag, probability, position): softmax over the cosines of every image with every label vector, the n most likely.
 
@@ -331,6 +341,15 @@ def pyramid(tiles: DataFrame, finest: int) -> DataFrame:
     return out
 
 
+def pyramid_of_pixels(pixels: DataFrame, keys: list[str], width: str, height: str, sides: tuple[int, ...] = (1, 2, 4), bins: int = 64) -> DataFrame:
+    """(keys, level, tile_row, tile_col, features): the features of tiles taken anew at every level, from the whole image down."""
+    out = None
+    for i, side in enumerate(sides):
+        t = tile_features(pixels, keys, width, height, side, bins).withColumn("level", F.lit(i))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def pyramid_search(levels: DataFrame, query_id: int, k: int | None = 10, weights: tuple[float, ...] = PYRAMID_WEIGHTS) -> DataFrame:
     """Weighted mean coefficient per level; a level that is missing counts 0."""
     cols = ["level", "row", "col", "n_r", "n_g", "n_b"]

@@ -11,31 +11,41 @@ from pyspark.sql import types as T
 from gradeloom.catalog import Catalog
 
 
+TABLES = ("projects", "files", "fingerprints", "tags", "analytics_sessions", "search_results", "dataset_entries", "documents", "style_vocabulary", "review_sheets")
+
+
 class NotAQuery(ValueError):
     """The text is not a single SELECT."""
 
 
 def checked_select(text: str) -> str:
     """Accepts one statement that begins with SELECT; anything else, WITH included, is refused."""
-    body = re.sub(r"^(\s|--[^\n]*\n|/\*.*?\*/)+", "", text, flags=re.S).rstrip().rstrip(";")
+    body = re.sub(r"^(\s|--[^\n]*(\n|$)|/\*.*?\*/)+", "", text, flags=re.S).rstrip().rstrip(";")
     if not re.match(r"select\b", body, re.I):
         raise NotAQuery("only SELECT statements are allowed")
     return body
 
 
 def select(c: Catalog, text: str, tables: list[str] | None = None) -> DataFrame:
-    """Runs a SELECT with the catalog's tables bound by name, without leaving views behind.
+    """Runs a SELECT over the catalog's tables, without touching its text and without leaving views behind.
 
-    The text goes through Spark's parser as a query over named arguments, so a second
-    statement or a command is a parse error and can't have an effect.
+    The tables are views of a session of their own, which shares the context but no
+    names with the caller's, and can't read files by path. The text goes through Spark's
+    parser as one statement, so a second one is a parse error; what begins with SELECT is no
+    command, but for a script transformation, which is refused.
     """
     body = checked_select(text)
-    names = tables if tables is not None else [n for n in ("projects", "files", "fingerprints", "tags", "analytics_sessions", "search_results", "dataset_entries", "documents", "style_vocabulary", "review_sheets") if re.search(rf"\b{n}\b", body, re.I)]
-    marked = body
-    for n in names:
-        marked = re.sub(rf"\b(from|join)(\s+){n}\b", rf"\1\2{{{n}}} AS {n}", marked, flags=re.I)
-        marked = re.sub(rf"(\{{{n}\}}) AS {n}(\s+(?:as\s+)?(?!on\b|where\b|join\b|left\b|right\b|full\b|inner\b|cross\b|semi\b|anti\b|group\b|order\b|limit\b|having\b|union\b|using\b|natural\b|lateral\b|window\b|except\b|intersect\b)[a-z_]\w*)", r"\1\2", marked, flags=re.I)
-    return c.spark.sql(marked, **{n: c.table(n) for n in names})
+    own = c.spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.shuffle.partitions"):
+        own.conf.set(key, c.spark.conf.get(key))
+    theirs = Catalog(own, c.sf_dir)
+    for n in tables if tables is not None else TABLES:
+        theirs.table(n).createOrReplaceTempView(n)
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    parsed = own._jsparkSession.sessionState().sqlParser().parsePlan(body).treeString()
+    if any(line.lstrip(" :+-'").startswith("ScriptTransformation") for line in parsed.splitlines()):
+        raise NotAQuery("script transformations are not allowed")
+    return own.sql(body)
 
 
 def select_as_text(c: Catalog, text: str, tables: list[str] | None = None) -> DataFrame:

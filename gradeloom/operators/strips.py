@@ -37,13 +37,13 @@ def frame_distances(strip: DataFrame) -> DataFrame:
     return lab.select("movie", "frame", gap.alias("gap")).where("gap IS NOT NULL").groupBy("movie", "frame").agg(F.avg("gap").alias("distance"))
 
 
-def boundary_frames(distances: DataFrame, threshold: float = 0.3, min_gap: int = 12, most: int = 1024) -> DataFrame:
+def boundary_frames(distances: DataFrame, threshold: float = 0.3, min_gap: int = 12, most: int | None = 1024) -> DataFrame:
     """(movie, ordinal, frame, distance, confidence) of the scene cuts.
 
     Candidates lie above the threshold. Going by frame, a candidate within `min_gap` of the
     strongest of its group joins it (and becomes the anchor if stronger); else it starts a
     group. The anchor moves, so this is a fold over the sorted candidates of a movie,
-    whose number is bounded by its frames. At most `most` groups come out.
+    whose number is bounded by its frames. At most `most` groups come out, all with None.
     """
     c = distances.where(F.col("distance") > threshold).groupBy("movie").agg(F.sort_array(F.collect_list(F.struct(F.col("frame").cast("long").alias("frame"), "distance"))).alias("c"))
     none = F.array().cast("array<struct<frame:bigint,distance:double>>")
@@ -54,12 +54,12 @@ def boundary_frames(distances: DataFrame, threshold: float = 0.3, min_gap: int =
         return F.when(near & stronger, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(x))).when(near, done).otherwise(F.concat(done, F.array(x)))
 
     cuts = c.select("movie", F.aggregate("c", none, step).alias("cuts"))
-    x = cuts.select("movie", F.posexplode(F.slice("cuts", 1, most)).alias("ordinal", "x"))
+    x = cuts.select("movie", F.posexplode("cuts" if most is None else F.slice("cuts", 1, most)).alias("ordinal", "x"))
     sure = clamp01((F.col("x.distance") - threshold) / max(threshold, 0.001))
     return x.select("movie", "ordinal", F.col("x.frame").alias("frame"), F.col("x.distance").alias("distance"), sure.alias("confidence"))
 
 
-def scene_boundaries(strip: DataFrame, threshold: float = 0.3, min_gap: int = 12, most: int = 1024) -> DataFrame:
+def scene_boundaries(strip: DataFrame, threshold: float = 0.3, min_gap: int = 12, most: int | None = 1024) -> DataFrame:
     """Scene cuts with the mean color of the stretch before and after each.
 
     The stretch before a cut begins after the previous one and includes the cut frame; the
@@ -122,11 +122,14 @@ def compare_dna(a: str, b: str) -> list[Column]:
     ]
 
 
-def movie_search(dna: DataFrame, movie, k: int = 10) -> DataFrame:
-    """Movies by similarity to one movie's color DNA; ties by movie."""
+def movie_search(dna: DataFrame, movie, k: int = 10, among: list | None = None) -> DataFrame:
+    """Movies by similarity to one movie's color DNA; ties by movie. `among` lists the candidates; unknown ones and the movie itself are skipped, and an empty list has an empty result."""
     cols = [c for c in dna.columns if c != "movie"]
     q = dna.where(F.col("movie") == movie).select(F.struct(*cols).alias("q")).limit(1)
-    x = dna.where(F.col("movie") != movie).select("movie", F.struct(*cols).alias("c")).join(F.broadcast(q))
+    c = dna.where(F.col("movie") != movie)
+    if among is not None:
+        c = c.where(F.col("movie").isin(*among)) if among else c.limit(0)
+    x = c.select("movie", F.struct(*cols).alias("c")).join(F.broadcast(q))
     x = x.select("movie", *compare_dna("q", "c")).orderBy(F.col("similarity").desc(), "movie").limit(k)
     return x.withColumn("rank", F.row_number().over(Window.orderBy(F.col("similarity").desc(), "movie")).cast("long"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.storage import materialize
+
 
 @dataclass(frozen=True)
 class Change:
@@ -105,19 +107,62 @@ def compact(messages: DataFrame, session_id: int, branch: str, until: int, summa
     return Change(marked.unionByName(line), messages.where(old))
 
 
-def branch_tree(branches: DataFrame, depth: int = 64) -> DataFrame:
-    """(session_id, branch_id, root, level, path) from (session_id, branch_id, parent_id, name), by a recursive query.
+def new_session(spark: SparkSession, session_id: int | str, created_at: int, provider: str | None = None, model: str | None = None, title: str = "New Session") -> DataFrame:
+    """The row of a chat session, to be appended."""
+    kind = "long" if isinstance(session_id, int) else "string"
+    return spark.createDataFrame([(session_id, title, provider, model, created_at, created_at)], f"session_id {kind}, title string, provider string, model string, created_at long, updated_at long")
+
+
+def sessions_listed(sessions: DataFrame, k: int | None = None) -> DataFrame:
+    """Newest first, by the last update; ties by session."""
+    out = sessions.orderBy(F.col("updated_at").desc(), "session_id")
+    return out if k is None else out.limit(k)
+
+
+def new_branch(branches: DataFrame, session_id: int | str, branch_id: int | str, name: str, created_at: int, parent_id: int | str | None = None, at_seq: int = 0) -> Change:
+    """Adds a branch; a name that the session has already, or a parent it hasn't, is an error. Without a parent it is a root, as 'main'."""
+    own = branches.where(F.col("session_id") == session_id)
+    found = own.agg(F.count_if(F.col("name") == name).alias("same"), F.count_if(F.col("branch_id") == F.lit(parent_id)).alias("parent")).first()
+    if found["same"]:
+        raise TagError(f"the session has a branch {name!r}")
+    if parent_id is not None and not found["parent"]:
+        raise TagError("no such parent branch")
+    fields = {"session_id": session_id, "branch_id": branch_id, "parent_id": parent_id, "branch_point_seq": at_seq, "name": name, "created_at": created_at}
+    kinds = dict(branches.dtypes)
+    row = branches.sparkSession.range(1).select(*[F.lit(v).cast(kinds.get(k, "string" if k == "name" else "long")).alias(k) for k, v in fields.items()])
+    return Change(branches.unionByName(row, allowMissingColumns=True), row)
+
 
-    Branches whose parents form a loop or are missing belong to no root and don't come out.
+def branches_of(branches: DataFrame, session_id: int | str) -> DataFrame:
+    """A session's branches, oldest first."""
+    return branches.where(F.col("session_id") == session_id).orderBy("created_at", "branch_id")
+
+
+def branch_by_name(branches: DataFrame, session_id: int | str, name: str = "main") -> DataFrame:
+    return branches.where((F.col("session_id") == session_id) & (F.col("name") == name)).select("branch_id")
+
+
+def branch_tree(branches: DataFrame, depth: int | None = None) -> DataFrame:
+    """(session_id, branch_id, root, level, path) from (session_id, branch_id, parent_id, name); `depth` leaves out deeper levels.
+
+    Every round doubles the stretch that a branch knows of the way to its root, so a chain
+    of a million branches takes twenty rounds. Branches whose parents form a loop or are missing
+    belong to no root and don't come out.
     """
-    spark = branches.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE t(session_id, branch_id, root, level, path) AS (
-      SELECT session_id, branch_id, branch_id, 0, CAST(name AS STRING) FROM {{b}} WHERE parent_id IS NULL
-      UNION ALL SELECT c.session_id, c.branch_id, t.root, t.level + 1, concat(t.path, '/', c.name) FROM {{b}} c JOIN t ON c.parent_id = t.branch_id AND c.session_id = t.session_id WHERE t.level < {int(depth)})
-      SELECT * FROM t""",
-        b=branches,
-    )
+    b = branches.select("session_id", "branch_id", "parent_id", F.col("name").cast("string").alias("path"))
+    done = b.where("parent_id IS NULL").select("session_id", "branch_id", F.col("branch_id").alias("root"), F.lit(0).alias("level"), "path")
+    way = b.where("parent_id IS NOT NULL").select("session_id", "branch_id", F.col("parent_id").alias("up"), F.lit(1).alias("level"), "path")
+    while True:
+        top = done.select("session_id", F.col("branch_id").alias("up"), "root", F.col("level").alias("l"), F.col("path").alias("p"))
+        new = way.join(top, ["session_id", "up"]).select("session_id", "branch_id", "root", (F.col("l") + F.col("level")).alias("level"), F.concat_ws("/", "p", "path").alias("path"))
+        new = materialize(new, "branches")
+        if not new.head(1):
+            break
+        next_ = way.select("session_id", F.col("branch_id").alias("up"), F.col("up").alias("u"), F.col("level").alias("l"), F.col("path").alias("p"))
+        way = way.join(next_, ["session_id", "up"]).join(new.select("session_id", "branch_id"), ["session_id", "branch_id"], "left_anti")
+        way = materialize(way.select("session_id", "branch_id", F.col("u").alias("up"), (F.col("level") + F.col("l")).alias("level"), F.concat_ws("/", "p", "path").alias("path")), "ways")
+        done = done.unionByName(new)
+    return done if depth is None else done.where(F.col("level") <= depth)
 
 
 def next_sequence(messages: DataFrame) -> DataFrame:

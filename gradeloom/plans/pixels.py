@@ -324,6 +324,19 @@ DNA = f"""hb AS (SELECT *, {CHROMA} AS c, CASE WHEN {CHROMA} > 0.001 THEN least(
     [{', '.join(f'CASE WHEN count(h) > 0 THEN count(*) FILTER (h = {i})::DOUBLE / count(h) ELSE 1.0::DOUBLE / 12 END' for i in range(12))}] AS hues FROM hb GROUP BY 1)"""
 
 
+@query(
+    "pixel_pyramid",
+    with_(FRAMES, PX, IMAGE, "tp AS (SELECT movie, level, floor(y / ceil(h / side))::INT AS tile_row, floor(x / ceil(w / side))::INT AS tile_col, r, g, b FROM im, (VALUES (0, 1::DOUBLE), (1, 2::DOUBLE), (2, 4::DOUBLE)) v(level, side))",
+          lab_sql("tp", "movie, level, tile_row, tile_col"), f"mo AS ({moments_sql('lab', 'movie, level, tile_row, tile_col')})", soft_sql("lab", "movie, level, tile_row, tile_col", {"l": OK_CHANNELS["l"]}, 16))
+    + "SELECT mo.*, so_l.hist_l FROM mo JOIN so_l USING (movie, level, tile_row, tile_col)",
+)
+def pixel_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the whole image, its quarters and its sixteenths, from the pixels."""
+    from gradeloom.operators.search import pyramid_of_pixels
+
+    return rounded(pyramid_of_pixels(image(spark, sf_dir), ["movie"], "w", "h", bins=16).drop("hist_a", "hist_b"))
+
+
 @query("color_dna", with_(*BASE, DNA) + "SELECT movie, round(ok_l, 6) AS ok_l, round(ok_a, 6) AS ok_a, round(ok_b, 6) AS ok_b, round(contrast, 6) AS contrast, round(warmth, 6) AS warmth, round(saturation, 6) AS saturation, list_transform(hues, lambda x: round(x, 6)) AS hues FROM dna")
 def color_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(st.color_dna(strip(spark, sf_dir)))
@@ -339,6 +352,16 @@ def movie_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(st.movie_search(st.color_dna(strip(spark, sf_dir)), 0, 10))
 
 
+@query(
+    "movie_search_listed",
+    with_(*BASE, DNA) + """SELECT movie, round(s, 6) AS similarity, round(h, 6) AS hue_similarity, round(cg, 6) AS contrast_gap, round(wg, 6) AS warmth_gap, row_number() OVER (ORDER BY s DESC, movie) AS rank FROM
+  (SELECT c.movie, 1 - least(greatest(sqrt((q.ok_l - c.ok_l) ** 2 + (q.ok_a - c.ok_a) ** 2 + (q.ok_b - c.ok_b) ** 2), 0), 1) AS s, least(list_sum(list_transform(list_zip(q.hues, c.hues), lambda z: sqrt(greatest(z[1], 1e-10::DOUBLE) * greatest(z[2], 1e-10::DOUBLE)))), 1) AS h,
+  least(abs(q.contrast - c.contrast), 1) AS cg, least(abs(q.warmth - c.warmth), 1) AS wg FROM dna c, dna q WHERE q.movie = 0 AND c.movie <> 0 AND c.movie IN (0, 2, 3, 77)) QUALIFY rank <= 10""",
+)
+def movie_search_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(st.movie_search(st.color_dna(strip(spark, sf_dir)), 0, 10, [0, 2, 3, 77]))
+
+
 def kind_sql(a: str, b: str) -> str:
     def both(lo1, hi1, lo2, hi2):
         inside = lambda x, lo, hi: f"({x} >= {lo} {'AND' if lo <= hi else 'OR'} {x} <= {hi})"

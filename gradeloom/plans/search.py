@@ -232,3 +232,14 @@ def luminance_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feedback_of_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ops.grading_search(_features(Catalog(spark, sf_dir)), QUERY_ID, 10)
     return ops.feedback_by_rank(found, 3, "accepted").select("id", "action")
+
+
+@query(
+    "merged_vocabulary",
+    with_(TAGS) + "SELECT tag, row_number() OVER (ORDER BY custom DESC, place, tag) AS place, custom FROM (SELECT tag, -count(*) AS place, true AS custom FROM tg WHERE source = 'manual' GROUP BY 1 HAVING count(*) >= 3 UNION ALL SELECT tag, vocab_id, false FROM style_vocabulary WHERE tag NOT IN (SELECT tag FROM tg WHERE source = 'manual' GROUP BY 1 HAVING count(*) >= 3))",
+)
+def merged_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user's own tags by how often they were given, then the vocabulary."""
+    c = Catalog(spark, sf_dir)
+    mine = c.tags.where("source = 'manual'").groupBy("tag").agg(F.count("*").alias("n")).where("n >= 3").select("tag", (-F.col("n")).alias("place"))
+    return ops.merged_vocabulary(mine, c.table("style_vocabulary").select("tag", F.col("vocab_id").alias("place")))

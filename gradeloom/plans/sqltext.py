@@ -29,8 +29,8 @@ HISTS = f"""hi AS (SELECT * FROM (SELECT id, file_id, {hist('histogram_r')} AS h
 FEEDBACK = """fb AS (SELECT DISTINCT result_id AS id, project_name, file_path, file_format, CASE WHEN score >= 0.8 THEN 'accepted' ELSE 'rejected' END AS action, search_type,
   floor(epoch_us(logged_at) / 1000000)::BIGINT AS created_at FROM search_results WHERE project_name IS NOT NULL AND file_path IS NOT NULL AND score IS NOT NULL AND NOT isnan(score))"""
 CALIBRATIONS = """cal AS (SELECT entry_id AS id, split_part(image_path, '/', 4) AS project_name, coalesce(grading_style_tags, []) AS added, created_at FROM dataset_entries)"""
-LUTS = """lt AS (SELECT id // 10 AS id, project_id, id AS fingerprint_id, 'grade ' || id AS title, ['cube', '3dl', 'look', 'csp'][id % 4 + 1] AS format,
-  CASE WHEN id % 20 = 0 THEN 33 ELSE 17 END::BIGINT AS grid_size, '/luts/' || (id % 50) || '.' || ['cube', '3dl', 'look', 'csp'][id % 4 + 1] AS output_path, created_at FROM inf WHERE id % 10 = 0)"""
+LUTS = """lt AS (SELECT id, project_id, id AS fingerprint_id, 'grade ' || id AS title, ['cube', '3dl', 'look', 'csp'][id % 4 + 1] AS format,
+  CASE WHEN id % 20 = 0 THEN 33 ELSE 17 END::BIGINT AS grid_size, '/luts/' || (id % 50) || '.' || ['cube', '3dl', 'look', 'csp'][id % 4 + 1] AS output_path, created_at FROM inf)"""
 MESSAGES = """msg AS (SELECT session_id, seq, regexp_extract(line, '^(user|assistant|system): ', 1) AS role, regexp_replace(line, '^(user|assistant|system): ', '') AS content FROM
   (SELECT doc_id AS session_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents WHERE source = 'agent_chat' AND text IS NOT NULL)
   WHERE regexp_matches(line, '^(user|assistant|system): '))"""

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.operators.features import downsample, fingerprint, grading_features, tile_features
+from gradeloom.operators.features import fingerprint, grading_features, tile_features
 from gradeloom.operators.lookup import color_tag
 from gradeloom.sources import media
 from gradeloom.storage import keep_latest, materialize
@@ -29,25 +29,30 @@ class Imported:
     features: DataFrame
     tiles: DataFrame | None
     variants: DataFrame
+    keyframes: DataFrame
 
 
 def import_project(spark: SparkSession, folder: str, project: str, known: DataFrame | None = None, tile_side: int | None = None, longest: int = LONGEST) -> Imported:
-    """New files of a folder with headers, fingerprints, grading features and, on demand, tiles.
+    """New files of a folder with headers, fingerprints, grading features, keyframes and, on demand, tiles.
 
     Files whose name the project has already (`known`: project_name, filename) are left
-    out, so an import can be resumed. Broken files come out in `skipped` with the error.
-    Films have a header only. Images are brought down to `longest` points before features
-    are taken. Features are keyed by path.
+    out, so an import can be resumed. No file is lost without a word: one whose header is
+    broken comes out in `skipped` only, one whose pixels or time table are in `files` and in
+    `skipped` with the error. Films have a header and keyframes. Images are brought down to
+    `longest` points in the task that decodes them. Features are keyed by path.
     """
     found = media.scan(spark, folder, content=True)
     if known is not None:
         mine = known.where(F.col("project_name") == project).select("filename").distinct()
         found = found.join(mine, "filename", "left_anti")
-    headers = media.read_headers(found)
+    headers = materialize(media.read_headers(found), "headers")
     good = headers.where("error IS NULL").withColumn("project_name", F.lit(project)).withColumn("color_tag", color_tag(F.col("format"), F.col("transfer")))
-    images = found.where(F.col("format").isin("dpx", "exr"))
-    # decoded and brought down once; five features read it
-    small = materialize(downsample(media.read_pixels(images), ["path"], "width", "height", longest), "pixels")
+    sound = found.join(good.select("path"), "path", "left_semi")
+    # decoded once; five features read it
+    points = materialize(media.read_pixels(sound.where(F.col("format").isin("dpx", "exr")), longest), "pixels")
+    small = points.where("error IS NULL").drop("error")
+    frames = materialize(media.read_keyframes(sound), "keyframes")
+    skipped = headers.select("path", "error").unionByName(points.select("path", "error")).unionByName(frames.select("path", "error")).where("error IS NOT NULL")
     tag = good.select("path", "color_tag")
     prints = fingerprint(small, ["path"]).join(tag, "path")
     tagged = small.join(tag, "path")
@@ -57,13 +62,13 @@ def import_project(spark: SparkSession, folder: str, project: str, known: DataFr
         feats = f if feats is None else feats.unionByName(f)
     tiles = tile_features(small, ["path"], "width", "height", tile_side) if tile_side else None
     variant = F.concat_ws(" ", "format", F.coalesce("codec", "compression"), F.concat(F.col("bit_depth").cast("string"), F.lit(" bit")))
-    return Imported(good, headers.where("error IS NOT NULL").select("path", "error"), prints, feats, tiles, good.groupBy(variant.alias("variant")).agg(F.count("*").alias("files")))
+    variants = good.groupBy(variant.alias("variant")).agg(F.count("*").alias("files"))
+    return Imported(good, skipped, prints, feats, tiles, variants, frames.where("error IS NULL").drop("error"))
 
 
-def upsert(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace those of the same key; of several new ones with one key, the greatest by their other columns counts."""
-    rest = [c for c in new.columns if c not in keys]
-    once = keep_latest(new, keys, rest)
+def upsert(table: DataFrame, new: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """New rows replace those of the same key; of several new ones with one key the latest by `by` counts, then the greatest by the other columns."""
+    once = keep_latest(new, keys, by)
     return table.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(once, allowMissingColumns=True)
 
 

@@ -140,37 +140,64 @@ def exr_header(data: bytes) -> dict:
     }
 
 
+def _woven(raw: bytes) -> bytes:
+    """Undoes the byte predictor and puts the two halves of the bytes back in turn, as the byte compressions have it."""
+    p = np.frombuffer(raw, np.uint8).astype(np.int64)
+    p = (np.cumsum(np.concatenate([p[:1], p[1:] - 128])) & 255).astype(np.uint8)
+    half = (len(p) + 1) // 2
+    out = np.empty(len(p), np.uint8)
+    out[0::2], out[1::2] = p[:half], p[half:]
+    return out.tobytes()
+
+
+def _unrun(raw: bytes) -> bytes:
+    """Run lengths: a negative count precedes as many plain bytes, another repeats the next byte once more than it says."""
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = raw[at] - 256 if raw[at] > 127 else raw[at]
+        if n < 0:
+            out += raw[at + 1 : at + 1 - n]
+            at += 1 - n
+        else:
+            out += raw[at + 1 : at + 2] * (n + 1)
+            at += 2
+    return bytes(out)
+
+
+#: Lines of a block by compression.
+EXR_LINES = {"none": 1, "rle": 1, "zips": 1, "zip": 16, "piz": 32}
+EXR_ITEMS = {"uint": "<u4", "half": "<f2", "float": "<f4"}
+
+
 def exr_pixels(data: bytes) -> tuple[int, int, np.ndarray]:
-    """(width, height, values n x 3) of scan lines without compression or with zip; values stay scene-linear, unclamped."""
+    """(width, height, values n x 3) of scan lines, plain or packed by rle, zips, zip or piz; values stay scene-linear, unclamped."""
+    from gradeloom.sources.piz import unpacked
+
     h = exr_header(data)
-    if h["compression"] not in ("none", "zips", "zip"):
+    if h["compression"] not in EXR_LINES:
         raise MediaError(f"compression {h['compression']}")
-    lines = 16 if h["compression"] == "zip" else 1
-    width, height = h["width"], h["height"]
-    kinds = {"half": "<f2", "float": "<f4"}
-    if any(k not in kinds for n, k in h["channels"] if n in "RGB") or {"R", "G", "B"} - {n for n, _ in h["channels"]}:
+    lines, width, height, channels = EXR_LINES[h["compression"]], h["width"], h["height"], h["channels"]
+    if any(k not in ("half", "float") for n, k in channels if n in "RGB") or {"R", "G", "B"} - {n for n, _ in channels}:
         raise MediaError("not half or float RGB")
     out = np.zeros((height, width, 3))
-    blocks = -(-height // lines)
     try:
-        offsets = struct.unpack_from(f"<{blocks}Q", data, h["start"])
+        offsets = struct.unpack_from(f"<{-(-height // lines)}Q", data, h["start"])
         for at in offsets:
             y, size = struct.unpack_from("<ii", data, at)
             raw = data[at + 8 : at + 8 + size]
             rows = min(lines, height - (y - h["first_line"]))
-            want = rows * width * sum({"uint": 4, "half": 2, "float": 4}[k] for _, k in h["channels"])
-            if h["compression"] != "none" and size < want:
-                p = np.frombuffer(zlib.decompress(raw), np.uint8).astype(np.int64)
-                p = (np.cumsum(np.concatenate([p[:1], p[1:] - 128])) & 255).astype(np.uint8)
-                half = (len(p) + 1) // 2
-                woven = np.empty(len(p), np.uint8)
-                woven[0::2], woven[1::2] = p[:half], p[half:]
-                raw = woven.tobytes()
+            want = rows * width * sum(int(EXR_ITEMS[k][-1]) for _, k in channels)
+            if len(raw) < size or rows < 1:
+                raise MediaError("cut off")
+            if size < want:  # a block that packing would make larger is stored plain
+                if h["compression"] == "piz":
+                    raw = unpacked(raw, width, rows, [int(EXR_ITEMS[k][-1]) // 2 for _, k in channels])
+                elif h["compression"] != "none":
+                    raw = _woven(_unrun(raw) if h["compression"] == "rle" else zlib.decompress(raw))
             pos = 0
             for row in range(rows):
-                for name, kind in h["channels"]:
-                    item = {"uint": "<u4", "half": "<f2", "float": "<f4"}[kind]
-                    line = np.frombuffer(raw, item, width, pos)
+                for name, kind in channels:
+                    line = np.frombuffer(raw, EXR_ITEMS[kind], width, pos)
                     pos += line.nbytes
                     if name in ("R", "G", "B"):
                         out[y - h["first_line"] + row, :, "RGB".index(name)] = line
@@ -179,6 +206,66 @@ def exr_pixels(data: bytes) -> tuple[int, int, np.ndarray]:
     return width, height, out.reshape(-1, 3)
 
 
+def png_pixels(data: bytes) -> tuple[int, int, np.ndarray]:
+    """(width, height, values n x 3) of a PNG of 8 or 16 bit without interlacing; gray is repeated, alpha is left out."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise MediaError("not a PNG file")
+    at, body, head, palette = 8, b"", None, None
+    try:
+        while at + 8 <= len(data):
+            size, kind = struct.unpack_from(">I4s", data, at)
+            part = data[at + 8 : at + 8 + size]
+            if len(part) < size:
+                raise MediaError("cut off")
+            if kind == b"IHDR":
+                head = struct.unpack(">IIBBBBB", part)
+            elif kind == b"PLTE":
+                palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+            elif kind == b"IDAT":
+                body += part
+            at += 12 + size
+        if head is None or head[6] or head[2] not in (8, 16) or (head[3] == 3 and palette is None):
+            raise MediaError("an unknown kind of PNG")
+        width, height, depth, color = head[:4]
+        planes = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+        step = planes * depth // 8
+        rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * step)
+    except (struct.error, zlib.error, ValueError, KeyError) as e:
+        raise MediaError(f"broken PNG: {e}") from None
+    lines, above = np.zeros((height, width * step), np.uint8), np.zeros(width * step, np.int64)
+    for y, row in enumerate(rows):
+        above = _unfiltered(int(row[0]), row[1:].astype(np.int64), above, step)
+        lines[y] = above
+    if depth == 16:
+        v = np.frombuffer(lines.tobytes(), ">u2").reshape(-1, planes) / 65535.0
+    else:
+        v = palette[lines.reshape(-1)] / 255.0 if color == 3 else lines.reshape(-1, planes) / 255.0
+    return width, height, np.repeat(v[:, :1], 3, axis=1) if color in (0, 4) else v[:, :3]
+
+
+def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """One line of a PNG without its filter: none, left, above, their mean, or the Paeth predictor."""
+    if kind == 0:
+        return row
+    if kind == 2:
+        return (row + above) & 255
+    if kind == 1:
+        return np.cumsum(row.reshape(-1, step), axis=0).reshape(-1) & 255
+    if kind not in (3, 4):
+        raise MediaError(f"PNG filter {kind}")
+    out = row.tolist()
+    up = above.tolist()
+    for i in range(len(out)):
+        a, b, c = (out[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
+        if kind == 3:
+            guess = (a + b) >> 1
+        else:
+            p = a + b - c
+            guess = min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c)))[2]
+        out[i] = (out[i] + guess) & 255
+    return np.array(out, np.int64)
+
+
 def _boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     at = start
     while at + 8 <= end:
@@ -201,6 +288,7 @@ def _find(data: bytes, path: list[bytes], start: int, end: int) -> tuple[int, in
     return None
 
 
+#: Names of the codecs of film tracks.
 CODEC_NAMES = {
     b"avc1": "H.264", b"hvc1": "H.265", b"hev1": "H.265", b"av01": "AV1", b"vp09": "VP9", b"vp08": "VP8", b"mp4v": "MPEG-4", b"apch": "ProRes 422 HQ", b"apcn": "ProRes 422",
     b"apcs": "ProRes 422 LT", b"apco": "ProRes 422 Proxy", b"ap4h": "ProRes 4444", b"AVdn": "DNxHD",
@@ -321,7 +409,7 @@ def exr_bytes(width: int, height: int, values: np.ndarray, kind: str = "float",
             b = np.frombuffer(raw, np.uint8)
             split = np.concatenate([b[0::2], b[1::2]]).astype(np.int64)
             delta = np.concatenate([split[:1], (split[1:] - split[:-1] + 128) & 255]).astype(np.uint8)
-            packed = zlib.compress(delta.tobytes())
+            packed = _runs(delta.tobytes()) if compression == "rle" else zlib.compress(delta.tobytes())
             raw = packed if len(packed) < len(raw) else raw
         blocks.append(struct.pack("<ii", y, len(raw)) + raw)
     at, offsets = len(head) + 8 * len(blocks), []
@@ -331,6 +419,24 @@ def exr_bytes(width: int, height: int, values: np.ndarray, kind: str = "float",
     return head + struct.pack(f"<{len(offsets)}Q", *offsets) + b"".join(blocks)
 
 
+def _runs(raw: bytes) -> bytes:
+    """Run lengths of bytes: runs of three and more as a count, all else plain."""
+    out, at, plain = bytearray(), 0, 0
+    while at <= len(raw):
+        end = at + 1
+        while end < len(raw) and at < len(raw) and raw[end] == raw[at] and end - at < 128:
+            end += 1
+        if at == len(raw) or end - at >= 3:
+            for i in range(plain, at, 127):
+                part = raw[i : min(i + 127, at)]
+                out += bytes([256 - len(part)]) + part
+            if at < len(raw):
+                out += bytes([end - at - 1, raw[at]])
+            plain = end
+        at = end
+    return bytes(out)
+
+
 def mov_bytes(width: int, height: int, scale: int, table: list[tuple[int, int]], codec: bytes = b"avc1", sync: list[int] | None = None) -> bytes:
     """A film file without frames: header boxes with a time table and, if given, sync frames."""
 
@@ -350,7 +456,7 @@ def mov_bytes(width: int, height: int, scale: int, table: list[tuple[int, int]],
 
 
 HEADERS: dict[str, Callable[[bytes], dict]] = {"dpx": dpx_header, "exr": exr_header, "mov": mov_header}
-PIXELS: dict[str, Callable[[bytes], tuple[int, int, np.ndarray]]] = {"dpx": dpx_pixels, "exr": exr_pixels, "ppm": ppm_pixels}
+PIXELS: dict[str, Callable[[bytes], tuple[int, int, np.ndarray]]] = {"dpx": dpx_pixels, "exr": exr_pixels, "ppm": ppm_pixels, "png": png_pixels}
 HEADER_SCHEMA = (
     "path string, filename string, format string, width long, height long, bit_depth long, transfer string, colorimetric string, descriptor string, compression string, "
     "codec string, fps double, duration double, frame_count long, error string"
@@ -375,37 +481,119 @@ def read_headers(files: DataFrame) -> DataFrame:
     return files.select("path", "filename", "format", "content").mapInPandas(run, HEADER_SCHEMA)
 
 
-def read_pixels(files: DataFrame) -> DataFrame:
-    """(path, width, height, x, y, r, g, b): one row per pixel of the files that can be decoded, in bounded batches."""
+PIXEL_SCHEMA = "path string, width long, height long, x long, y long, r double, g double, b double, error string"
+
+
+def small_size(width: int, height: int, longest: int | None) -> tuple[int, int]:
+    """The size that keeps the aspect and has at most `longest` points a side."""
+    if longest is None or max(width, height) <= longest:
+        return width, height
+    scale = longest / max(width, height)
+    return tuple(max(int(np.floor(n * scale + 0.5)), 1) for n in (width, height))
+
+
+def box_means(values: np.ndarray, width: int, height: int, longest: int | None) -> tuple[int, int, np.ndarray]:
+    """(width, height, values) after averaging the source box of every target point; boxes of neighbours may share a line.
+
+    Lines are averaged first, then points of a line: a box is the same mean either way, and no sum over the image is held.
+    """
+    nw, nh = small_size(width, height, longest)
+    if (nw, nh) == (width, height):
+        return width, height, values
+    v = values.reshape(height, width, 3)
+    t = np.arange(nh)
+    lo, hi = t * height // nh, -(-(t + 1) * height // nh)
+    lines = np.stack([v[a:b].mean(axis=0) for a, b in zip(lo, hi)])
+    t = np.arange(nw)
+    lo, hi = t * width // nw, -(-(t + 1) * width // nw)
+    return nw, nh, np.stack([lines[:, a:b].mean(axis=1) for a, b in zip(lo, hi)], axis=1).reshape(-1, 3)
+
+
+def read_pixels(files: DataFrame, longest: int | None = None) -> DataFrame:
+    """(path, width, height, x, y, r, g, b, error): one row per point, in bounded batches; a file that can't be decoded is one row with `error`.
+
+    With `longest` an image is brought down to that many points a side in the task that
+    decodes it, so only the small image is ever a table.
+    """
+    names = [c.split()[0] for c in PIXEL_SCHEMA.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             for path, kind, data in zip(x["path"], x["format"], x["content"]):
                 try:
-                    w, h, v = PIXELS[kind](data)
-                except (MediaError, KeyError):
+                    w, h, v = box_means(*_decoded(kind, data), longest)
+                except MediaError as e:
+                    yield pd.DataFrame([(path, *[None] * 7, str(e))], columns=names)
                     continue
                 for at in range(0, len(v), 65536):
                     part = v[at : at + 65536]
                     i = np.arange(at, at + len(part))
-                    yield pd.DataFrame({"path": path, "width": w, "height": h, "x": i % w, "y": i // w, "r": part[:, 0], "g": part[:, 1], "b": part[:, 2]})
+                    yield pd.DataFrame({"path": path, "width": w, "height": h, "x": i % w, "y": i // w, "r": part[:, 0], "g": part[:, 1], "b": part[:, 2], "error": None})
+
+    return files.select("path", "format", "content").mapInPandas(run, PIXEL_SCHEMA)
 
-    return files.select("path", "format", "content").mapInPandas(run, "path string, width long, height long, x long, y long, r double, g double, b double")
+
+def _decoded(kind: str | None, data: bytes | None) -> tuple[np.ndarray, int, int]:
+    if kind not in PIXELS:
+        raise MediaError(f"no pixels are read from {kind!r}")
+    w, h, v = PIXELS[kind](data or b"")
+    return v, w, h
 
 
 def read_keyframes(files: DataFrame, at_start: bool = False) -> DataFrame:
-    """(path, frame_number, timestamp_secs) of films."""
+    """(path, frame_number, timestamp_secs, error) of films; a broken one is one row with `error`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             for path, data in zip(x["path"], x["content"]):
                 try:
                     k = mov_keyframes(data, at_start)
-                except MediaError:
+                except MediaError as e:
+                    yield pd.DataFrame([(path, None, None, str(e))], columns=["path", "frame_number", "timestamp_secs", "error"])
                     continue
-                yield pd.DataFrame({"path": path, "frame_number": [f for f, _ in k], "timestamp_secs": [t for _, t in k]})
+                yield pd.DataFrame({"path": path, "frame_number": [f for f, _ in k], "timestamp_secs": [t for _, t in k], "error": None})
+
+    return files.where("format = 'mov'").select("path", "content").mapInPandas(run, "path string, frame_number long, timestamp_secs double, error string")
+
+
+def extract_frames(films: DataFrame, command: Callable[[str, str], list[str]], folder: str, timeout: int = 3600) -> DataFrame:
+    """(path, folder, error): runs an external tool once a film, on the cluster, that writes its frames (PPM, JPEG) into a folder of their own.
+
+    `command(path, target)` gives the tool's arguments; read the result with `scan` and
+    `read_pixels`. A missing tool, an error or a timeout is told in `error`, the other films
+    go on. `folder` is one that all executors share.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import os
+        import subprocess
+
+        for x in frames:
+            rows = []
+            for path in x["path"]:
+                target, error = os.path.join(folder, hashlib.sha1(path.encode()).hexdigest()), None
+                try:
+                    os.makedirs(target, exist_ok=True)
+                    done = subprocess.run(command(path, target), capture_output=True, timeout=timeout, check=False)
+                    if done.returncode:
+                        error = done.stderr.decode("utf-8", "replace")[-500:] or f"exit code {done.returncode}"
+                except (OSError, subprocess.TimeoutExpired) as e:
+                    error = str(e)
+                rows.append((path, target, error))
+            yield pd.DataFrame(rows, columns=["path", "folder", "error"])
+
+    return films.select("path").mapInPandas(run, "path string, folder string, error string")
+
+
+def frame_command(interval: float = 1.0, most: int | None = None, tool: str = "ffmpeg") -> Callable[[str, str], list[str]]:
+    """Frames every `interval` seconds as PPM files, at most `most`."""
+    return lambda path, target: [tool, "-v", "error", "-i", path, "-vf", f"fps=1/{interval:g}", *(["-frames:v", str(most)] if most else []), f"{target}/%08d.ppm"]
+
 
-    return files.where("format = 'mov'").select("path", "content").mapInPandas(run, "path string, frame_number long, timestamp_secs double")
+def keyframe_command(tool: str = "ffmpeg") -> Callable[[str, str], list[str]]:
+    """Every sync frame as a JPEG file."""
+    return lambda path, target: [tool, "-v", "error", "-skip_frame", "nokey", "-i", path, "-vsync", "vfr", f"{target}/%08d.jpg"]
 
 
 def pcm_samples(files: DataFrame) -> DataFrame:
