@@ -14,7 +14,6 @@ text; limit, window and overlap are then measured on the text itself.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +31,25 @@ BLOCK_UNITS = 6
 #: Unbroken runs of more tokens than this are cut into atoms of ATOM_CHARS characters.
 ATOM_TOKENS, ATOM_CHARS = 16, 4
 
-_UNIT_END = re.compile(r"\n+|[.!?…;]+[\"'”’)\]]*(?=\s)|[。！？；]+")
+_STOP, _CLOSER, _FULL_STOP, _BLANK, _LINE = 1, 2, 4, 8, 16
+#: What each character of the first plane is to a unit's end.
+_KINDS = np.zeros(65536, np.uint8)
+for _kind, _chars in ((_STOP, ".!?…;"), (_CLOSER, "\"'”’)]"), (_FULL_STOP, "。！？；"), (_BLANK, [c for c in map(chr, range(65535)) if c.isspace()]), (_LINE, "\n")):
+    _KINDS[[ord(c) for c in _chars]] |= _kind
+
+
+def unit_ends(text: str) -> np.ndarray:
+    """Characters before the end of each unit: after a run of line ends, a sentence end with its closing marks before a blank, a run of full-width stops."""
+    k = _KINDS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)]
+    if not len(k):
+        return np.zeros(0, np.int64)
+    runs = k & (_LINE | _FULL_STOP)
+    out = (runs & ~np.r_[runs[1:], np.uint8(0)]) != 0
+    # the last character that closes nothing decides whether closing marks end a sentence
+    last = np.maximum.accumulate(np.where(k & _CLOSER, -1, np.arange(len(k), dtype=np.int32)))
+    ended = (k[np.maximum(last, 0)] & _STOP != 0) & (last >= 0)
+    out[:-1] |= ended[:-1] & (k[1:] & _BLANK != 0)
+    return np.flatnonzero(out) + 1
 
 
 def _similarities(ids: np.ndarray, unit_of_token: np.ndarray, units: int, block: int = BLOCK_UNITS) -> np.ndarray:
@@ -150,8 +167,7 @@ def split_text(enc: PrefixEncoder, text: str | None, limit: int = LIMIT, overlap
     n_tokens = np.fromiter(map(len, coded), np.int64, len(coded))
     ids = np.fromiter(itertools.chain.from_iterable(coded), np.int64, int(n_tokens.sum()))
     total = np.concatenate([[0], np.cumsum(n_tokens)])  # tokens before each atom, each encoded alone
-    marks = np.fromiter((m.end() for m in _UNIT_END.finditer(text)), np.int64)
-    unit_end = np.unique(np.append(np.searchsorted(ends, marks), len(atoms) - 1))  # last atom of each unit
+    unit_end = np.unique(np.append(np.searchsorted(ends, unit_ends(text)), len(atoms) - 1))  # last atom of each unit
     unit_end = unit_end[unit_end < len(atoms)]
     unit_of_atom = np.searchsorted(unit_end, np.arange(len(atoms)))
     depth = _valleys(ids, np.repeat(unit_of_atom, n_tokens), len(unit_end))

@@ -135,3 +135,13 @@ def test_depth_is_the_climb_to_the_peaks_on_both_sides(monkeypatch):
     monkeypatch.setattr(segments, "_similarities", lambda *a: s)
     got = segments._valleys(np.zeros(1), np.zeros(1), 9)
     assert np.allclose(got, [0.2, 0, 0, 0.5 + 0.1, 0, 0, 0.2 + 0.8, 0, 0])
+
+
+def test_unit_ends_against_the_pattern():
+    import re
+
+    rnd = random.Random(6)
+    pattern = re.compile(r"\n+|[.!?…;]+[\"'”’)\]]*(?=\s)|[。！？；]+")
+    for _ in range(400):
+        text = "".join(rnd.choice(".!?…;\"'”’)] \n\t\u3000ab。！？；\x85\xa0🎬漢\r\u2028") for _ in range(rnd.randrange(40)))
+        assert segments.unit_ends(text).tolist() == sorted({m.end() for m in pattern.finditer(text)}), repr(text)
