@@ -171,17 +171,19 @@ def project_summaries(histograms: DataFrame, group: str, names: list[str]) -> Da
     return c.join(histograms.groupBy(group).agg(F.count("*").alias("fingerprints")), group)
 
 
-def project_distances(histograms: DataFrame, group: str, names: list[str]) -> DataFrame:
+def project_distances(histograms: DataFrame, group: str, names: list[str], parts: int = 16) -> DataFrame:
     """(a, b, distance): mean L1 distance of the centroids of every two groups, a before b.
 
     Pairs of groups are the result itself. They are made bin by bin on partial sums of 64
-    rows a group, so what is joined grows with groups, not with fingerprints.
+    rows a group, so what is joined grows with groups, not with fingerprints. Each bin is cut
+    into `parts` by the first group, so many groups are spread over more tasks than there are bins.
     """
     c = centroids(histograms, group, names)
-    left = c.select("bin", F.col(group).alias("a"), *[F.col(n).alias(f"a_{n}") for n in names])
-    right = c.select("bin", F.col(group).alias("b"), *[F.col(n).alias(f"b_{n}") for n in names])
+    left = c.select("bin", F.pmod(F.xxhash64(group), F.lit(parts)).cast("int").alias("part"), F.col(group).alias("a"), *[F.col(n).alias(f"a_{n}") for n in names])
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    right = c.select("bin", every, F.col(group).alias("b"), *[F.col(n).alias(f"b_{n}") for n in names])
     gap = sum((F.abs(F.col(f"a_{n}") - F.col(f"b_{n}")) for n in names[1:]), F.abs(F.col(f"a_{names[0]}") - F.col(f"b_{names[0]}")))
-    return left.join(right, "bin").where("a < b").groupBy("a", "b").agg((F.sum(gap) / len(names)).alias("distance"))
+    return left.join(right, ["bin", "part"]).where("a < b").groupBy("a", "b").agg((F.sum(gap) / len(names)).alias("distance"))
 
 
 def outliers(histograms: DataFrame, group: str, names: list[str], factor: float = 2.0) -> DataFrame:

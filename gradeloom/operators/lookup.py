@@ -125,6 +125,23 @@ def color_tag_code(tag: Column) -> Column:
     return F.when(tag == "log", 1).when(tag == "video", 2).otherwise(0)
 
 
+def vocabulary_of(path: str, default: list[str], key: str = "tags") -> list[str]:
+    """The tags that a TOML file lists, trimmed, each once whatever its case, blank ones left out; the default if there is no such file or list."""
+    import tomllib
+
+    try:
+        with open(path, "rb") as f:
+            listed = tomllib.load(f)[key]
+        if isinstance(listed, str):
+            return default
+        found: dict[str, str] = {}
+        for t in listed:
+            found.setdefault(t.strip().lower(), t.strip())
+    except (OSError, ValueError, KeyError, TypeError, AttributeError):
+        return default
+    return [t for t in found.values() if t]
+
+
 def validate_entries(entries: DataFrame, vocabulary: DataFrame, materials: tuple[str, ...], spaces: tuple[str, ...], sidecar: str | None = None) -> DataFrame:
     """(entry_id, status, errors): enumerations, emptiness and vocabulary of dataset entries.
 

@@ -49,11 +49,11 @@ def explain_few(n: int) -> str | None:
 
 
 def ranked(df: DataFrame, k: int | None, ties: list[str], score: str = "score") -> DataFrame:
-    """The k best by descending score, with their rank. k None ranks all rows, which needs a total order in one task; k rows never do."""
+    """The k best by descending score, with their rank; all rows without one if k is None, as a rank of all rows would order them in one task."""
+    if k is None:
+        return df
     order = [F.col(score).desc(), *[F.col(t).asc() for t in ties]]
-    if k is not None:
-        df = df.orderBy(*order).limit(k)
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def with_query(candidates: DataFrame, features: DataFrame, query_id: int, columns: list[str], key: str = "id") -> DataFrame:
@@ -295,6 +295,11 @@ def tiles_of(histograms: DataFrame, side: int = 2) -> DataFrame:
     return x.select("id", "tile_row", "tile_col", *[v.normalised(F.col(f"t_{c}"), F.col(f"s_{c}")).alias(f"n_{c}") for c in "rgb"])
 
 
+def stored_tiles(tiles: DataFrame, fingerprint_id: int) -> DataFrame:
+    """The tiles of one fingerprint, row by row."""
+    return tiles.where(F.col("id") == fingerprint_id).orderBy("tile_row", "tile_col")
+
+
 def tile_similarity() -> Column:
     return v.grading_similarity([F.col(f"n_{c}") for c in "rgb"], [F.col(f"q_n_{c}") for c in "rgb"])
 

@@ -25,7 +25,7 @@ from gradeloom.plans.registry import query
 from gradeloom.plans.sqltext import INFO, LUTS, with_
 from gradeloom.sinks import importer
 from gradeloom.sources import lutfiles, media
-from gradeloom.storage import materialize, shared_dir, spread
+from gradeloom.storage import materialize, scratch, spread
 
 QUERY_MOVIE = 1
 
@@ -81,13 +81,13 @@ def written(spark: SparkSession, sf_dir: str) -> str:
     import os
     import uuid
 
-    folder = os.path.join(shared_dir(spark), f"files-{uuid.uuid4().hex}")
+    folder = scratch(spark, "files")
     local = folder.removeprefix("file://")
     dpx = encoded(spark, sf_dir, "dpx", lambda w, h, v: media.dpx_bytes(w, h, v, 16))
     exr = encoded(spark, sf_dir, "exr", lambda w, h, v: media.exr_bytes(w, h, v, "float", "rle"))
     movie = F.regexp_extract("path", r"m(\d+)", 1).cast("int")
     film = media.mov_bytes(64, 36, 24, [(48, 1)], sync=[1, 25])
-    odd = [("broken.dpx", b"SDPX" + bytes(100)), ("short.dpx", media.dpx_bytes(4, 4, np.zeros((16, 3)), 16)[:-9]), ("packed.exr", media.exr_bytes(2, 2, np.zeros((4, 3))).replace(b"compression\0compression\0\x01\0\0\0\0", b"compression\0compression\0\x01\0\0\0\x06")), ("film.MOV", film), ("film2.mov", film[:60])]
+    odd = [("broken.dpx", b"SDPX" + bytes(100)), ("empty.exr", b""), ("short.dpx", media.dpx_bytes(4, 4, np.zeros((16, 3)), 16)[:-9]), ("packed.exr", media.exr_bytes(2, 2, np.zeros((4, 3))).replace(b"compression\0compression\0\x01\0\0\0\0", b"compression\0compression\0\x01\0\0\0\x06")), ("film.MOV", film), ("film2.mov", film[:60])]
     rows = dpx.where(movie % 2 == 0).unionByName(exr.where(movie % 2 == 1)).select("filename", "content")
     rows = rows.unionByName(spark.createDataFrame([(n, bytearray(d)) for n, d in odd], "filename string, content binary"))
 
@@ -114,7 +114,7 @@ STORED = "vx AS (SELECT movie, w, h, " + ", ".join(f"CASE WHEN movie % 2 = 0 THE
     with_(FRAMES, PX, IMAGE, STORED, "vy AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS y FROM vx)")
     + """SELECT 'm' || movie || CASE WHEN movie % 2 = 0 THEN '.dpx' ELSE '.exr' END AS filename, CASE WHEN movie % 2 = 0 THEN 'dpx' ELSE 'exr' END AS format, first(w) AS width, first(h) AS height,
   CASE WHEN movie % 2 = 0 THEN 'log' ELSE 'linear' END AS color_tag, round(avg(y), 6) AS luminance_mean, round(stddev_pop(y), 6) AS luminance_stddev, 0::BIGINT AS keyframes, false AS failed FROM vy GROUP BY movie
-  UNION ALL SELECT * FROM (VALUES ('broken.dpx', NULL, NULL, NULL, NULL, NULL, NULL, 0, true), ('short.dpx', 'dpx', 4, 4, 'log', NULL, NULL, 0, true), ('packed.exr', 'exr', 2, 2, 'linear', NULL, NULL, 0, true),
+  UNION ALL SELECT * FROM (VALUES ('empty.exr', NULL, NULL, NULL, NULL, NULL, NULL, 0, true), ('broken.dpx', NULL, NULL, NULL, NULL, NULL, NULL, 0, true), ('short.dpx', 'dpx', 4, 4, 'log', NULL, NULL, 0, true), ('packed.exr', 'exr', 2, 2, 'linear', NULL, NULL, 0, true),
   ('film.MOV', 'mov', 64, 36, 'linear', NULL, NULL, 2, false), ('film2.mov', NULL, NULL, NULL, NULL, NULL, NULL, 0, true))""",
 )
 def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from gradeloom.operators import index as vectors
 from gradeloom.operators import search as ops
 from gradeloom.plans.registry import query
 from gradeloom.plans.sqltext import HISTS, INFO, TAGS, with_
-from gradeloom.storage import shared_dir
+from gradeloom.storage import scratch
 
 QUERY_ID = 7
 WORDS = "gilded_skyline plum_ceiling velvet_pulse"
@@ -70,7 +68,7 @@ FINITE = "AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))"
 EMB = EMB[:-1] + f" {FINITE})"
 
 _register("r3_similar_grades", with_(HISTS, NORM) + top_sql(f"SELECT c.id, {GRADING} AS score FROM nf c, nf q WHERE q.id = {QUERY_ID} AND c.id <> q.id", 10), lambda c: ops.grading_search(_features(c), QUERY_ID, 10))
-_register("grading_scores", with_(HISTS, NORM) + f"SELECT c.id, round({GRADING}, 6) AS score FROM nf c, nf q WHERE q.id = {QUERY_ID} AND c.id <> q.id", lambda c: ops.grading_search(_features(c), QUERY_ID, None).drop("rank"))
+_register("grading_scores", with_(HISTS, NORM) + f"SELECT c.id, round({GRADING}, 6) AS score FROM nf c, nf q WHERE q.id = {QUERY_ID} AND c.id <> q.id", lambda c: ops.grading_search(_features(c), QUERY_ID, None))
 _register(
     "histogram_search",
     with_(HISTS, NORM) + top_sql("SELECT c.id, (" + " + ".join(inter_sql(f"c.n_{x}", f"q.n_{x}") for x in "rgb") + f") / 3 AS score FROM nf c, nf q WHERE q.id = {QUERY_ID} AND c.id <> q.id", 10),
@@ -83,10 +81,10 @@ _register(
 )
 TAGGED = f"SELECT fingerprint_id AS id, count(DISTINCT tag) AS matches, count(DISTINCT tag)::DOUBLE / max(count(DISTINCT tag)) OVER () AS score FROM tg WHERE tag IN ({QUOTED}) GROUP BY 1"
 _register("tag_search", with_(TAGS) + top_sql(TAGGED, 20, "id, matches, score"), lambda c: ops.tag_search(c.tags, WORDS, 20))
-_register("tag_scores", with_(TAGS) + f"SELECT id, matches, round(score, 6) AS score FROM ({TAGGED})", lambda c: ops.tag_search(c.tags, WORDS, None).drop("rank"))
+_register("tag_scores", with_(TAGS) + f"SELECT id, matches, round(score, 6) AS score FROM ({TAGGED})", lambda c: ops.tag_search(c.tags, WORDS, None))
 IMAGE = f"SELECT c.id, {COSINE} AS score FROM em c, em q WHERE q.id = {QUERY_ID} AND c.id <> q.id AND c.embedding_model = q.embedding_model AND len(c.embedding) = len(q.embedding)"
 _register("image_search", with_(EMB) + top_sql(IMAGE, 10), lambda c: ops.image_search(_sound_embeddings(c), QUERY_ID, 10))
-_register("image_scores", with_(EMB) + f"SELECT id, round(score, 6) AS score FROM ({IMAGE})", lambda c: ops.image_search(_sound_embeddings(c), QUERY_ID, None).drop("rank"))
+_register("image_scores", with_(EMB) + f"SELECT id, round(score, 6) AS score FROM ({IMAGE})", lambda c: ops.image_search(_sound_embeddings(c), QUERY_ID, None))
 _register("image_tag_search", with_(EMB, TAGS) + top_sql(IMAGE + f" AND c.id IN (SELECT fingerprint_id FROM tg WHERE tag IN ({QUOTED}))", 10), lambda c: ops.image_tag_search(_sound_embeddings(c), c.tags, QUERY_ID, WORDS, 10))
 
 SOUND = "CASE WHEN len(f.embedding) > 0 AND list_bool_and(list_transform(f.embedding, lambda x: isfinite(x))) THEN f.embedding END"
@@ -153,10 +151,15 @@ _register(
 )
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def _index(c: Catalog) -> vectors.VectorIndex:
-    """The index of the catalog's embeddings in the shared folder, built once for a data directory."""
-    path = f"{shared_dir(c.spark)}/index-{hashlib.sha1(c.sf_dir.encode()).hexdigest()[:16]}"
-    return vectors.load_or_build(c.fingerprints.select("id", "embedding", "embedding_model"), path)
+    """The index of the catalog's embeddings in the shared folder, built once a session for a data directory."""
+    key = (c.spark.sparkContext.applicationId, c.sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = scratch(c.spark, "index")
+    return vectors.load_or_build(c.fingerprints.select("id", "embedding", "embedding_model"), _INDEXES[key])
 
 
 _register("image_search_exact_index", with_(EMB, "ez AS (SELECT * FROM em WHERE list_bool_or(list_transform(embedding, lambda x: x <> 0)))") + top_sql(IMAGE.replace("em c, em q", "ez c, ez q"), 10), lambda c: vectors.search(_index(c), c.fingerprints, QUERY_ID, 10, None))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -26,12 +27,20 @@ class MediaError(ValueError):
 
 
 def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, content: bool = False) -> DataFrame:
-    """(path, filename, format, length[, content]) of the top level of a folder; extensions in any case."""
+    """(path, filename, format, length[, content]) of the top level of a folder; extensions in any case.
+
+    Spark leaves files without a byte out of every scan; they are added from its listing of the folder, with empty content.
+    """
     glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     cols = ["path", name.alias("filename"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("format"), "length"]
-    return f.select(*cols, *(["content"] if content else []))
+    shown = [*cols, *(["content"] if content else [])]
+    listed = [(unquote(p).replace("file:///", "file:/"), 0, bytearray()) for p in f.inputFiles()]
+    if not listed:
+        return f.select(*shown)
+    bare = spark.createDataFrame(listed, "path string, length long, content binary").join(f.select("path"), "path", "left_anti")
+    return f.select(*shown).unionByName(bare.select(*shown))
 
 
 def dpx_header(data: bytes) -> dict:
@@ -596,6 +605,11 @@ def keyframe_command(tool: str = "ffmpeg") -> Callable[[str, str], list[str]]:
     return lambda path, target: [tool, "-v", "error", "-skip_frame", "nokey", "-i", path, "-vsync", "vfr", f"{target}/%08d.jpg"]
 
 
+def audio_command(rate: int = 8000, tool: str = "ffmpeg") -> Callable[[str, str], list[str]]:
+    """The sound as one raw file of 16-bit mono samples, which `pcm_samples` reads."""
+    return lambda path, target: [tool, "-v", "error", "-i", path, "-vn", "-ac", "1", "-ar", str(rate), "-f", "s16le", f"{target}/audio.pcm"]
+
+
 def pcm_samples(files: DataFrame) -> DataFrame:
     """(track, pos, sample) of raw little-endian 16-bit mono files."""
 
@@ -614,7 +628,7 @@ def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     stem = lambda c: F.regexp_replace(c, r"\.[^./]+$", "")
     images = scan(spark, folder, ("dpx", "exr")).select(F.col("path").alias("image_path"), stem(F.col("path")).alias("stem"))
     text = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    body = F.from_json(F.decode("content", F.lit("utf-8")), "material_type string, color_space string, grading_style_tags array<string>")
+    body = F.from_json(F.decode("content", "utf-8"), "material_type string, color_space string, grading_style_tags array<string>")
     side = text.select(stem(F.col("path")).alias("stem"), body.alias("j"), F.lit(True).alias("has_sidecar"))
     return images.join(side, "stem", "left").select("image_path", "stem", F.coalesce("has_sidecar", F.lit(False)).alias("has_sidecar"), "j.*").orderBy("image_path")
 

@@ -41,17 +41,39 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Intermediate tables that are still there, with their sessions.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def release() -> int:
+    """Deletes all intermediate tables; DataFrames that still read them can't be used any more. Returns their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path, spark = _WRITTEN.popitem()
+        _remove(spark, path)
+    return n
+
+
+atexit.register(release)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which is deleted with the intermediate tables."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _WRITTEN[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Writes `df` as a table into the shared folder and reads it again.
 
     This cuts the lineage: later stages survive the loss of any executor without
     recomputing what came before, and sizes of the written table are known to the planner.
+    The tables are deleted when the program ends, or by `release` once results are consumed.
     """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:

@@ -7,8 +7,6 @@ the timer, emits the final session.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.storage import shared_dir
+from gradeloom.storage import scratch
 
 GAP_MS = 1_800_000
 #: Width of the slices that a key is cut into, so that no task holds the whole log of one key.
@@ -196,7 +194,7 @@ def stream_sessions(events: DataFrame, batches: int = 3, gap: int = GAP_MS, late
     between them. A last delivery without a key lies beyond all timers and closes every session.
     """
     spark = events.sparkSession
-    root = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
+    root = scratch(spark, "stream")
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(F.col(key), F.timestamp_millis(F.col("start").cast("long")).alias("ts"), F.col("end").cast("long").alias("end")).where("ts IS NOT NULL")
     lo, hi = rows.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max(F.greatest("ts", F.timestamp_millis(F.coalesce("end", F.unix_millis("ts"))))))).first()

@@ -275,3 +275,96 @@ def test_movie_search_among(spark):
 def test_scene_cuts_without_a_cap(spark):
     d = spark.createDataFrame([("m", 20 * i, 0.5) for i in range(30)], "movie string, frame long, distance double")
     assert strips.boundary_frames(d, most=5).count() == 5 and strips.boundary_frames(d, most=None).count() == 30
+
+
+def test_trend_of_a_feedback_stream(spark, tmp_path):
+    """Weeks come out once the watermark has passed them; a row delivered twice counts once."""
+    from gradeloom.operators.analytics import feedback_trend_stream
+
+    rows = [(1, "accepted", "2024-01-04 10:00:00"), (1, "accepted", "2024-01-04 10:00:00"), (2, "rejected", "2024-01-05 10:00:00"), (3, "accepted", "2024-03-01 00:00:00")]
+    df = spark.createDataFrame(rows, "id long, action string, t string").selectExpr("id", "action", "CAST(t AS TIMESTAMP) AS ts")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = feedback_trend_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("trend").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+        got = [tuple(r)[1:] for r in spark.table("trend").collect()]
+    finally:
+        q.stop()
+    assert got == [(1, 2, 0.5)] or got == [(1, 2, 50.0)]
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from gradeloom import storage
+
+    kept = storage.materialize(spark.range(3), "gone")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and storage.release() >= 1 and not os.path.exists(path)
+
+
+def test_sidecars_and_samples(spark, tmp_path):
+    for name, body in {"a.dpx": b"", "b.EXR": b"", "c.dpx": b"", "a.json": b'{"material_type": "dpx", "color_space": "log", "grading_style_tags": ["x"]}', "c.json": b"broken"}.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r["image_path"].rsplit("/", 1)[-1]: r for r in media.read_sidecars(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.dpx", "b.EXR", "c.dpx"} and got["a.dpx"]["grading_style_tags"] == ["x"]
+    assert got["a.dpx"]["has_sidecar"] and not got["b.EXR"]["has_sidecar"] and got["c.dpx"]["material_type"] is None
+    found = media.scan(spark, str(tmp_path)).collect()
+    assert {(r["filename"], r["format"]) for r in found} == {("a.dpx", "dpx"), ("b.EXR", "exr"), ("c.dpx", "dpx")}
+    pcm = spark.createDataFrame([("t", bytearray(np.array([1, -2, 32767], "<i2").tobytes() + b"x"))], "path string, content binary")
+    assert [tuple(r) for r in media.pcm_samples(pcm).collect()] == [("t", 0, 1), ("t", 1, -2), ("t", 2, 32767)]
+    bars = strips.waveform_bars(strips.waveform(media.pcm_samples(pcm), 3), 10).groupBy("bin").count().collect()
+    assert {r["bin"]: r["count"] for r in bars} == {2: 10}
+    assert media.audio_command(16000)("a", "b")[-1] == "b/audio.pcm"
+
+
+def test_lut_files_are_read_and_never_overwritten(spark, tmp_path):
+    from gradeloom.sources import lutfiles
+
+    t = lut.sampled(spark, 3, lut.Cdl((1.2, 0.9, 0.8), (0.0, 0.05, 0.0), (1.0, 1.1, 1.0), 0.7))
+    for kind in ("cube", "look", "csp"):
+        lutfiles.export_lut(t, 3, str(tmp_path / f"x.{kind}"), "a title")
+    with pytest.raises(FileExistsError):
+        lutfiles.export_lut(t, 3, str(tmp_path / "x.cube"))
+    for bad in ("y.cdl", "y.txt"):
+        with pytest.raises(lut.LutError):
+            lutfiles.export_lut(t, 3, str(tmp_path / bad))
+    (tmp_path / "z.cube").write_text("broken")
+    rows = lutfiles.read_luts(spark, str(tmp_path)).collect()
+    assert [r["error"] is not None for r in rows].count(True) == 1 and len(rows) == 3 * 27 + 1
+    want = {(r["ri"], r["gi"], r["bi"]): (r["r"], r["g"], r["b"]) for r in t.collect()}
+    assert all(np.allclose((r["r"], r["g"], r["b"]), want[(r["ri"], r["gi"], r["bi"])], atol=1e-6) for r in rows if r["error"] is None)
+    assert lut.diff(t, lutfiles.from_table(spark, lutfiles.to_table(t, 3))).where("changed > 0").count() == 0
+    with pytest.raises(lut.LutError):
+        lut.diff(t, lut.identity(spark, 4))
+
+
+def test_small_color_rules(spark):
+    from gradeloom.functions import color
+
+    with pytest.raises(ValueError):
+        color.aces_steps("acescct", "rec709")
+    row = spark.range(1).select(
+        color.normalised_angle(F.lit(-0.5)).alias("a"), color.channels_descriptor(F.array(*map(F.lit, "BGR"))).alias("b"), color.channels_descriptor(F.array(*map(F.lit, "ABGR"))).alias("c"), color.channels_descriptor(F.array(*map(F.lit, "YZ"))).alias("d")
+    ).first()
+    assert np.isclose(row["a"], 2 * np.pi - 0.5) and (row["b"], row["c"], row["d"]) == ("rgb", "rgba", "Y,Z")
+
+
+def test_vocabulary_files(tmp_path):
+    from gradeloom.operators.lookup import vocabulary_of
+
+    f = tmp_path / "v.toml"
+    f.write_text('tags = ["b", " a ", "B", ""]')
+    assert vocabulary_of(str(f), ["z"]) == ["b", "a"]
+    f.write_text("tags = []")
+    assert vocabulary_of(str(f), ["z"]) == []
+    for text in ("tags = 5", "tags = 'abc'", "other = 1", "not toml ["):
+        f.write_text(text)
+        assert vocabulary_of(str(f), ["z"]) == ["z"]
+    assert vocabulary_of(str(tmp_path / "none.toml"), ["z"]) == ["z"]
+
+
+def test_stored_tiles(spark):
+    t = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (1, 0, 0), (2, 0, 0)], "id long, tile_row int, tile_col int")
+    assert [tuple(r)[1:] for r in ops.stored_tiles(t, 1).collect()] == [(0, 0), (0, 1), (1, 0)]
