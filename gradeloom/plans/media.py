@@ -6,6 +6,7 @@ Each movie of the strip tables is one image: x is the frame, y the row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -82,7 +83,7 @@ def written(spark: SparkSession, sf_dir: str) -> str:
     import uuid
 
     folder = scratch(spark, "files")
-    local = folder.removeprefix("file://")
+    local = urlparse(folder).path if folder.startswith("file:") else folder
     dpx = encoded(spark, sf_dir, "dpx", lambda w, h, v: media.dpx_bytes(w, h, v, 16))
     exr = encoded(spark, sf_dir, "exr", lambda w, h, v: media.exr_bytes(w, h, v, "float", "rle"))
     movie = F.regexp_extract("path", r"m(\d+)", 1).cast("int")

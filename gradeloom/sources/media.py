@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions.color import COLORIMETRIC_NAMES, DESCRIPTOR_NAMES, TRANSFER_NAMES
+from gradeloom.sources.exrblocks import differences, linear_flags, squares
+from gradeloom.sources.piz import unpacked
 
 EXTENSIONS = ("dpx", "exr", "mov")
 DPX_HEADER = 2048
@@ -145,7 +147,7 @@ def exr_header(data: bytes) -> dict:
     names = ",".join(n for n, _ in channels)
     return {
         "width": x1 - x0 + 1, "height": y1 - y0 + 1, "channels": channels, "compression": EXR_COMPRESSION[code] if code < len(EXR_COMPRESSION) else "unknown",
-        "bit_depth": depth, "descriptor": {"B,G,R": "rgb", "A,B,G,R": "rgba"}.get(names, names), "start": start, "first_line": y0,
+        "logarithms": any(linear_flags(raw)), "bit_depth": depth, "descriptor": {"B,G,R": "rgb", "A,B,G,R": "rgba"}.get(names, names), "start": start, "first_line": y0,
     }
 
 
@@ -174,17 +176,17 @@ def _unrun(raw: bytes) -> bytes:
 
 
 #: Lines of a block by compression.
-EXR_LINES = {"none": 1, "rle": 1, "zips": 1, "zip": 16, "piz": 32}
+EXR_LINES = {"none": 1, "rle": 1, "zips": 1, "zip": 16, "piz": 32, "pxr24": 16, "b44": 32, "b44a": 32}
 EXR_ITEMS = {"uint": "<u4", "half": "<f2", "float": "<f4"}
 
 
 def exr_pixels(data: bytes) -> tuple[int, int, np.ndarray]:
-    """(width, height, values n x 3) of scan lines, plain or packed by rle, zips, zip or piz; values stay scene-linear, unclamped."""
-    from gradeloom.sources.piz import unpacked
-
+    """(width, height, values n x 3) of scan lines in any of the eight packings; values stay scene-linear, unclamped. Squares of logarithms are refused."""
     h = exr_header(data)
     if h["compression"] not in EXR_LINES:
         raise MediaError(f"compression {h['compression']}")
+    if h["compression"] in ("b44", "b44a") and h["logarithms"]:
+        raise MediaError("squares of logarithms")
     lines, width, height, channels = EXR_LINES[h["compression"]], h["width"], h["height"], h["channels"]
     if any(k not in ("half", "float") for n, k in channels if n in "RGB") or {"R", "G", "B"} - {n for n, _ in channels}:
         raise MediaError("not half or float RGB")
@@ -199,7 +201,11 @@ def exr_pixels(data: bytes) -> tuple[int, int, np.ndarray]:
             if len(raw) < size or rows < 1:
                 raise MediaError("cut off")
             if size < want:  # a block that packing would make larger is stored plain
-                if h["compression"] == "piz":
+                if h["compression"] == "pxr24":
+                    raw = differences(raw, width, rows, [k for _, k in channels])
+                elif h["compression"] in ("b44", "b44a"):
+                    raw = squares(raw, width, rows, [k for _, k in channels])
+                elif h["compression"] == "piz":
                     raw = unpacked(raw, width, rows, [int(EXR_ITEMS[k][-1]) // 2 for _, k in channels])
                 elif h["compression"] != "none":
                     raw = _woven(_unrun(raw) if h["compression"] == "rle" else zlib.decompress(raw))

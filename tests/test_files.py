@@ -201,7 +201,7 @@ def test_exr_runs_and_broken_files():
     data = exr([(b"B", 1), (b"G", 1), (b"R", 1)], 1, list(enumerate(packed)), 32, 2)
     _, _, v = media.exr_pixels(data)
     assert np.array_equal(v.reshape(2, 32, 3)[:, :, 0], [line, line])
-    for bad in (data[:40], data[:-20], b"", data.replace(b"channels\0", b"chanels\0\0"), exr([(b"Y", 1)], 0, [], 4, 4), exr([(b"B", 1), (b"G", 1), (b"R", 1)], 6, [], 4, 4)):
+    for bad in (data[:40], data[:-20], b"", data.replace(b"channels\0", b"chanels\0\0"), exr([(b"Y", 1)], 0, [], 4, 4), exr([(b"B", 1), (b"G", 1), (b"R", 1)], 9, [], 4, 4)):
         with pytest.raises(media.MediaError):
             media.exr_pixels(bad)
 
@@ -295,3 +295,58 @@ def test_box_means_against_the_definition():
         nw, nh, got = media.box_means(v.reshape(-1, 3), w, h, longest)
         want = [v[y * h // nh : -(-(y + 1) * h // nh), x * w // nw : -(-(x + 1) * w // nw)].mean((0, 1)) for y in range(nh) for x in range(nw)]
         assert max(nw, nh) <= longest and np.allclose(got, want)
+
+
+def test_exr_differences():
+    """pxr24 by its definition: differences of each line as byte planes, deflated."""
+    rng = np.random.default_rng(2)
+    v = np.round(rng.random((20, 9, 3)), 3).astype("<f2")
+    blocks = []
+    for y in range(0, 20, 16):
+        body = b""
+        for line in v[y : y + 16]:
+            for c in "BGR":
+                bits = line[:, "RGB".index(c)].copy().view("<u2").astype(int)
+                d = [(int(b) - int(a)) & 65535 for a, b in zip([0, *bits], bits)]
+                body += bytes(x >> 8 for x in d) + bytes(x & 255 for x in d)
+        packed = zlib.compress(body)
+        plain = b"".join(line[:, "RGB".index(c)].tobytes() for line in v[y : y + 16] for c in "BGR")
+        blocks.append((y, packed if len(packed) < len(plain) else plain))
+    _, _, got = media.exr_pixels(exr([(b"B", 1), (b"G", 1), (b"R", 1)], 5, blocks, 9, 20))
+    assert np.array_equal(got.reshape(20, 9, 3), v.astype(float))
+    f = np.array([1.0, 1.5, -2.25, 3e5], "<f4")
+    bits = f.view("<u4").astype(int)
+    d = [(int(b) - int(a)) & 0xFFFFFFFF for a, b in zip([0, *bits], bits)]
+    raw = zlib.compress(b"".join(bytes(x >> s & 255 for x in d) for s in (24, 16, 8)))
+    assert np.array_equal(np.frombuffer(media.differences(raw, 4, 1, ["float"]), "<f4"), f)
+
+
+def test_exr_squares():
+    """b44 by its definition, with values whose steps fit six bits, so nothing is lost; edges repeat into the last squares."""
+    rng = np.random.default_rng(8)
+    height, width = 6, 10
+    planes = {}
+    for c in "BGR":
+        base = int(rng.integers(0x3000, 0x3800))
+        planes[c] = base + rng.integers(-7, 8, (height, width))
+    planes["G"][:4, 4:8] = 0x3555
+    planes["R"][0, 0] |= 0  # positive halves only, but for one negative square
+    planes["R"][4:, 8:] = 0xB400
+    body = b""
+    for c in "BGR":
+        p = np.pad(planes[c], ((0, 2), (0, 2)), mode="edge")
+        for y in range(0, 8, 4):
+            for x in range(0, 12, 4):
+                t = [[int(v) for v in row] for row in p[y : y + 4, x : x + 4]]
+                t = [[(v ^ 0xFFFF) if v & 0x8000 else v | 0x8000 for v in row] for row in t]
+                if len({v for row in t for v in row}) == 1:
+                    body += bytes([t[0][0] >> 8, t[0][0] & 255, 0xFC])
+                    continue
+                steps = [t[i][0] - t[i - 1][0] for i in (1, 2, 3)] + [t[i][j] - t[i][j - 1] for j in (1, 2, 3) for i in range(4)]
+                bits = format(t[0][0], "016b") + "000000" + "".join(format(s + 32, "06b") for s in steps)
+                body += bytes(int(bits[i : i + 8], 2) for i in range(0, 112, 8))
+    data = exr([(b"B", 1), (b"G", 1), (b"R", 1)], 7, [(0, body)], width, height)
+    want = np.stack([planes[c].astype("<u2").view("<f2") for c in "RGB"], axis=2).astype(float)
+    assert np.array_equal(media.exr_pixels(data)[2].reshape(height, width, 3), want)
+    with pytest.raises(media.MediaError):
+        media.exr_pixels(data[:-9] + bytes(0))
