@@ -11,7 +11,7 @@ from gradeloom.operators import index as vectors
 from gradeloom.operators import search as ops
 from gradeloom.plans.registry import query
 from gradeloom.plans.sqltext import HISTS, INFO, TAGS, with_
-from gradeloom.storage import scratch
+from gradeloom.storage import is_kept, scratch
 
 QUERY_ID = 7
 WORDS = "gilded_skyline plum_ceiling velvet_pulse"
@@ -151,15 +151,16 @@ _register(
 )
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str], tuple[str, vectors.VectorIndex]] = {}
 
 
 def _index(c: Catalog) -> vectors.VectorIndex:
     """The index of the catalog's embeddings in the shared folder, built once a session for a data directory."""
     key = (c.spark.sparkContext.applicationId, c.sf_dir)
-    if key not in _INDEXES:
-        _INDEXES[key] = scratch(c.spark, "index")
-    return vectors.load_or_build(c.fingerprints.select("id", "embedding", "embedding_model"), _INDEXES[key])
+    if key not in _INDEXES or not is_kept(_INDEXES[key][0]):
+        path = scratch(c.spark, "index")
+        _INDEXES[key] = path, vectors.load_or_build(c.fingerprints.select("id", "embedding", "embedding_model"), path)
+    return _INDEXES[key][1]
 
 
 _register("image_search_exact_index", with_(EMB, "ez AS (SELECT * FROM em WHERE list_bool_or(list_transform(embedding, lambda x: x <> 0)))") + top_sql(IMAGE.replace("em c, em q", "ez c, ez q"), 10), lambda c: vectors.search(_index(c), c.fingerprints, QUERY_ID, 10, None))

@@ -64,6 +64,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def is_kept(path: str) -> bool:
+    """Whether an intermediate path hasn't been released."""
+    return path in _WRITTEN
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Writes `df` as a table into the shared folder and reads it again.
 
