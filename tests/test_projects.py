@@ -38,3 +38,14 @@ def test_pairs_are_not_shuffled_by_bin(spark):
     df, _ = table(spark, GROUPS)
     plan = ft.project_distances(df, "project", NAMES)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "hashpartitioning(a#" not in plan
+
+
+def test_mean_distance_makes_no_pairs(spark):
+    from gradeloom.plans import pixels
+
+    df, want = table(spark, GROUPS, seed=1)
+    mean = lambda x: ft.mean_distance(x, "project", NAMES).first()["overall"]
+    assert mean(df) == pytest.approx(np.mean(list(want.values())))
+    assert mean(df.limit(0)) == 0 and mean(df.where("project = 'a' OR project IS NULL")) == 0
+    plan = pixels.overall_consistency(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "a < b" not in plan and " < b#" not in plan and "FlatMapGroupsIn" not in plan
