@@ -10,7 +10,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.catalog import Catalog
@@ -249,8 +249,18 @@ def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing embeddings come from the model's column, the others stay as they are; unsound ones are shown as null."""
     f = Catalog(spark, sf_dir).fingerprints.withColumn("filled", F.col("embedding").isNull())
     new = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (((F.col("id") + i) % 11) / 11).cast("float"))
-    sound = F.when(F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), F.col("embedding"))
-    return importer.embed_missing(f, new).select("id", F.transform(sound, lambda x: F.round(x.cast("double"), 6)).alias("embedding"), "filled")
+    # elements that are null don't make a vector unsound
+    sound = F.when(F.forall("embedding", lambda x: x.isNull() | (~F.isnan(x) & (F.abs(x) < float("inf")))), F.col("embedding"))
+    return importer.embed_missing(f, new).select("id", F.transform(sound, lambda x: _sql_round(x.cast("double"))).alias("embedding"), "filled")
+
+
+def _sql_round(x: Column, places: int = 6) -> Column:
+    """round() as DuckDB has it, bit for bit: half away from zero after scaling, and a negative number that becomes zero stays negative zero."""
+    scale = 10.0**places
+    size = F.abs(x * scale)
+    whole = F.floor(size).cast("double")
+    size = F.when(size < 2.0**52, whole + F.when(size - whole >= 0.5, 1.0).otherwise(0.0)).otherwise(size)
+    return F.when(size == 0, x * 0.0).when(x < 0, -size / scale).otherwise(size / scale)
 
 
 @query("segments")
